@@ -40,24 +40,29 @@ def rewrite(body: Column, base: Column) -> Column:
     """Make relative links absolute in place.
 
     The text between links and the links themselves are taken apart, and put
-    together again with new targets. Bodies without a base or a link stay.
+    together again with new targets. Bodies without a base or a relative link
+    are returned as they are.
     """
-    def rebuild(found: Column) -> Column:
-        gaps = F.split(body, C.LINK_PATTERN, -1)
-        pieces = F.zip_with(
-            gaps,
-            found,
-            lambda gap, link: F.when(
+    def rebuild(known: Column) -> Column:
+        def with_target(gap: Column, link: Column) -> Column:
+            target = F.when(
+                kind(link["href"]) == "resolved", urls.resolve_from(known["base"], link["href"])
+            ).otherwise(link["href"])
+            return F.when(
                 link.isNotNull(),
-                F.concat(
-                    gap, F.lit("["), link["text"], F.lit("]("),
-                    absolute_href(base, link["href"]), F.lit(")"),
-                ),
-            ).otherwise(gap),
-        )
-        return F.array_join(pieces, "")
-
-    has_relative = F.regexp_like(body, F.lit(r"\]\((?!#|https?:|mailto:)"))
+                F.concat(gap, F.lit("["), link["text"], F.lit("]("), target, F.lit(")")),
+            ).otherwise(gap)
+
+        return F.array_join(F.zip_with(known["gaps"], known["links"], with_target), "")
+
+    has_relative = F.contains(body, F.lit("](")) & F.regexp_like(
+        body, F.lit(r"\]\((?!#|https?:|mailto:)")
+    )
+    taken_apart = F.struct(
+        F.split(body, C.LINK_PATTERN, -1).alias("gaps"),
+        extract(body).alias("links"),
+        urls.base_parts(base).alias("base"),
+    )
     return F.when(
-        base.isNotNull() & (base != "") & has_relative, let(extract(body), rebuild)
+        base.isNotNull() & (base != "") & has_relative, let(taken_apart, rebuild)
     ).otherwise(body)

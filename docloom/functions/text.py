@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four ASCII separators.
 SPACE = r"[\s\x1C-\x1F]"
-LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
+LINE_BREAK = r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029](?:(?<=\r)\n)?"
+# White space that does not break a line.
+BLANKS = "\t \x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -26,13 +28,14 @@ def split_lines(col: Column) -> Column:
 
 
 def clean_markdown(col: Column) -> Column:
-    """Collapse blank-line runs, then unify line breaks and right-strip each line.
+    """Collapse blank-line runs, then split at any line break and right-strip each line.
 
-    The order matters: lines that only hold blanks are not collapsed.
+    The order matters: lines that only hold blanks are not collapsed. A line
+    break at the very end is dropped.
     """
-    collapsed = F.regexp_replace(col, r"\n{3,}", "\n\n")
-    unified = F.regexp_replace(collapsed, LINE_BREAK, "\n")
-    unterminated = F.regexp_replace(unified, r"\n\z", "")
-    return F.regexp_replace(
-        unterminated, rf"(?U)(?<![{SPACE}&&[^\n]])[{SPACE}&&[^\n]]++(?=\n|\z)", ""
-    )
+    def join(lines: Column) -> Column:
+        ended = (F.size(lines) > 1) & (F.element_at(lines, -1) == "")
+        kept = F.when(ended, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+        return F.array_join(F.transform(kept, lambda line: F.rtrim(line, F.lit(BLANKS))), "\n")
+
+    return let(F.split(F.regexp_replace(col, r"\n{3,}", "\n\n"), LINE_BREAK, -1), join)

@@ -76,16 +76,20 @@ def page_key(url: Column) -> Column:
 def _merged_path(base_path: Column, ref_path: Column) -> Column:
     """Path of a reference with a non-empty path, dot segments removed."""
     base_folder = F.split(F.regexp_replace(base_path, r"[^/]+\z", ""), "/", -1)
-    own = F.split(ref_path, "/", -1)
-    segments = F.when(F.startswith(ref_path, F.lit("/")), own).otherwise(F.concat(base_folder, own))
+    # Joining with the base drops empty parts, but for those at both ends.
+    joined_parts = let(
+        F.concat(base_folder, F.split(ref_path, "/", -1)),
+        lambda parts: F.filter(
+            parts, lambda s, i: (s != "") | (i == 0) | (i == F.size(parts) - 1)
+        ),
+    )
+    segments = F.when(
+        F.startswith(ref_path, F.lit("/")), F.split(ref_path, "/", -1)
+    ).otherwise(joined_parts)
 
     def resolve(parts: Column) -> Column:
-        # Empty parts count only at both ends.
-        kept = F.filter(
-            parts, lambda s, i: (s != "") | (i == 0) | (i == F.size(parts) - 1)
-        )
         folded = F.aggregate(
-            kept,
+            parts,
             F.array().cast("array<string>"),
             lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
             .when(s == ".", done)
@@ -100,8 +104,53 @@ def _merged_path(base_path: Column, ref_path: Column) -> Column:
     return let(segments, resolve)
 
 
+# References of these forms need the full resolution.
+UNUSUAL_ROOTED = r"[\x00-\x20]|\A//|/\.|\?#|[?#]\z"
+UNUSUAL_PLAIN = r"[\x00-\x20:]|\A[./?#]|//|/\.|\?#|[?#]\z"
+
+
+def _parts(url: Column) -> Column:
+    return F.struct(
+        scheme(url).alias("scheme"),
+        host(url).alias("host"),
+        path(url).alias("path"),
+        part(url, QUERY).alias("query"),
+        part(url, FRAGMENT).alias("fragment"),
+        url.alias("whole"),
+    )
+
+
+def base_parts(url: Column) -> Column:
+    """What resolution needs to know of a base, as a struct for many references."""
+    return F.struct(
+        scheme(url).alias("scheme"),
+        host(url).alias("host"),
+        path(url).alias("path"),
+        part(url, QUERY).alias("query"),
+        url.alias("whole"),
+        F.concat(scheme(url), F.lit("://"), host(url)).alias("root"),
+        directory(path(url)).alias("folder"),
+        (~F.regexp_like(path(url), F.lit(r"//|/\."))).alias("is_plain"),
+    )
+
+
 def resolve(base: Column, href: Column) -> Column:
     """Absolute URL of ``href`` seen from ``base``; foreign schemes stay as they are."""
+    return let(base_parts(base), lambda b: resolve_from(b, href))
+
+
+def resolve_from(base: Column, href: Column) -> Column:
+    """``resolve`` with the ``base_parts`` at hand; most links need no parsing."""
+    rooted = F.startswith(href, F.lit("/")) & ~F.regexp_like(href, F.lit(UNUSUAL_ROOTED))
+    plain = (href != "") & base["is_plain"] & ~F.regexp_like(href, F.lit(UNUSUAL_PLAIN))
+    return (
+        F.when(rooted, F.concat(base["root"], href))
+        .when(plain, F.concat(base["root"], base["folder"], href))
+        .otherwise(_resolve_fully(base, href))
+    )
+
+
+def _resolve_fully(base: Column, href: Column) -> Column:
     trimmed = F.regexp_replace(F.regexp_replace(href, r"\A[\x00-\x20]+", ""), r"[\t\r\n]", "")
 
     def from_parts(p: Column) -> Column:
@@ -111,38 +160,23 @@ def resolve(base: Column, href: Column) -> Column:
                 F.when(p["fragment"] != "", F.concat(F.lit("#"), p["fragment"])).otherwise(""),
             )
 
-        root = F.concat(p["base_scheme"], F.lit("://"))
         own_path = F.when(
             (p["path"] == "") | F.startswith(p["path"], F.lit("/")), p["path"]
         ).otherwise(F.concat(F.lit("/"), p["path"]))
-        kept_query = F.when(p["query"] != "", p["query"]).otherwise(p["base_query"])
+        kept_query = F.when(p["query"] != "", p["query"]).otherwise(base["query"])
         return (
-            F.when(p["href"] == "", base)
-            .when((p["scheme"] != "") & (p["scheme"] != p["base_scheme"]), href)
-            .when(p["host"] != "", F.concat(root, p["host"], own_path, with_tail(p["query"])))
+            F.when(p["whole"] == "", base["whole"])
+            .when((p["scheme"] != "") & (p["scheme"] != base["scheme"]), href)
             .when(
-                p["path"] == "",
-                F.concat(root, p["base_host"], p["base_path"], with_tail(kept_query)),
+                p["host"] != "",
+                F.concat(base["scheme"], F.lit("://"), p["host"], own_path, with_tail(p["query"])),
             )
+            .when(p["path"] == "", F.concat(base["root"], base["path"], with_tail(kept_query)))
             .otherwise(
                 F.concat(
-                    root, p["base_host"], _merged_path(p["base_path"], p["path"]), with_tail(p["query"])
+                    base["root"], _merged_path(base["path"], p["path"]), with_tail(p["query"])
                 )
             )
         )
 
-    return let(
-        F.struct(
-            trimmed.alias("href"),
-            scheme(trimmed).alias("scheme"),
-            host(trimmed).alias("host"),
-            path(trimmed).alias("path"),
-            part(trimmed, QUERY).alias("query"),
-            part(trimmed, FRAGMENT).alias("fragment"),
-            scheme(base).alias("base_scheme"),
-            host(base).alias("base_host"),
-            path(base).alias("base_path"),
-            part(base, QUERY).alias("base_query"),
-        ),
-        from_parts,
-    )
+    return let(_parts(trimmed), from_parts)

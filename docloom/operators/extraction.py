@@ -11,17 +11,15 @@ from pyspark.sql import functions as F
 
 from docloom import schema
 from docloom.functions import frontmatter, links, paths, text, urls
-from docloom.session import spread_small_input
+from docloom.operators import page_markdown as pm
+from docloom.session import ship_package, spread_small_input
 
 EXTRACTED = "page_id long, url string, title string, container string, markdown string, warning string, error string"
 
 NO_CONTENT = "no content container"
-TITLE_WARNING = "title element without a single text"
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from docloom.operators import page_markdown as pm
-
     for batch in batches:
         rows: dict[str, list] = {
             k: [] for k in ("title", "container", "markdown", "warning", "error")
@@ -53,6 +51,7 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Every page with title, container and Markdown, or with an error."""
+    ship_package(pages.sparkSession)
     slim = spread_small_input(pages.select("page_id", "url", "html"), "page_id")
     return slim.mapInArrow(_parse_batches, EXTRACTED)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.functions import frontmatter
+from docloom.session import ship_package
 
 YAML_BLOCK = r"(?s)\A---\n(.*?)\n---\n"
 READ = T.StructType([
@@ -38,6 +39,7 @@ def _read_yaml(headers: pd.Series) -> pd.DataFrame:
 
 def parse_yaml(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``fields`` and ``error`` from a YAML header; broken YAML gives no fields."""
+    ship_package(files.sparkSession)
     header = F.when(
         F.regexp_like(F.col(content), F.lit(YAML_BLOCK)), F.regexp_extract(content, YAML_BLOCK, 1)
     )

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom import constants as C
 from docloom.functions import paths, search
 from docloom.functions.text import SPACE, let
-from docloom.session import broadcast_if_bounded, save_and_reload
+from docloom.operators.keyword_batches import score_batches
+from docloom.session import broadcast_if_bounded, save_and_reload, ship_package, spread_small_input
 
-# Up to this many distinct keywords each body is scanned for all of them at once.
-SCAN_KEYWORD_LIMIT = 64
+# Query tables up to this many (query, keyword) rows travel to every task.
+CARRIED_TERMS_LIMIT = 20_000
+# Rows a task may hold back while it looks for its best results.
+HELD_BACK_LIMIT = 1_000_000
 # Below Spark's limit for trimming each task's rows before a ranking shuffle.
 TRIMMED_RANK_LIMIT = 1000
 TOP_ROW_BYTES = 64
@@ -125,52 +130,41 @@ def match_counts_for_queries(
 ) -> DataFrame:
     """``(query_id, key, matches)`` for every query and every document it matches.
 
-    Few keywords are counted in one scan of each body (``scan``). Beyond that
-    the keywords are matched against the corpus vocabulary, and documents are
-    scored from their term counts (``vocabulary``). Both give the same rows.
+    A query table of limited size travels to the tasks, which count all its
+    keywords in one pass over each body (``one_pass``). A larger one is matched
+    against the corpus vocabulary by joins, and documents are scored from
+    their terms (``vocabulary``). Both give the same rows.
     """
-    terms = query_keywords(queries)
-    if strategy == "auto":
-        small = terms.limit(SCAN_KEYWORD_LIMIT + 1).count() <= SCAN_KEYWORD_LIMIT
-        strategy = "scan" if small else "vocabulary"
-    if strategy == "scan":
-        return _counts_by_scan(docs, terms, key, body)
-    return _counts_by_vocabulary(docs, terms, key, body)
-
-
-def _counts_by_scan(docs: DataFrame, terms: DataFrame, key: str, body: str) -> DataFrame:
-    """All queries scored inside each row; the bounded query table is a literal."""
-    rows = terms.limit(SCAN_KEYWORD_LIMIT + 1).collect()
-    if len(rows) > SCAN_KEYWORD_LIMIT:
-        raise ValueError("too many keywords for one scan; use the vocabulary strategy")
-    if not rows:
-        return docs.sparkSession.createDataFrame(
-            [], f"query_id {dict(terms.dtypes)['query_id']}, {key} {dict(docs.dtypes)[key]}, matches long"
-        )
-    words = sorted({r["keyword"] for r in rows})
-    place = {w: i for i, w in enumerate(words)}
-    by_query: dict = {}
-    for r in rows:
-        by_query.setdefault(r["query_id"], []).append((place[r["keyword"]], r["weight"]))
-
-    def scores(counts: Column) -> Column:
-        per_query = []
-        for query_id, parts in sorted(by_query.items()):
-            total = F.lit(0).cast("long")
-            for i, weight in parts:
-                total = total + counts[i] * weight
-            per_query.append(
-                F.struct(F.lit(query_id).alias("query_id"), total.alias("matches"))
-            )
-        return F.filter(F.array(*per_query), lambda s: s["matches"] > 0)
+    return _scored(docs, queries, key, body, strategy, keep=None)
 
-    def count_all(lowered: Column) -> Column:
-        return F.array(*[search.occurrences(lowered, F.lit(w)) for w in words])
 
-    scored = let(let(F.lower(body), count_all), scores)
-    return docs.select(key, F.inline(scored)).select(
-        F.col("query_id").cast(dict(terms.dtypes)["query_id"]), key, "matches"
-    )
+def _scored(
+    docs: DataFrame, queries: DataFrame, key: str, body: str, strategy: str, keep: int | None
+) -> DataFrame:
+    terms = query_keywords(queries)
+    carried = []
+    if strategy != "vocabulary":
+        carried = terms.limit(CARRIED_TERMS_LIMIT + 1).collect()
+        if len(carried) > CARRIED_TERMS_LIMIT:
+            if strategy == "one_pass":
+                raise ValueError("too many keywords to carry; use the vocabulary strategy")
+            strategy = "vocabulary"
+    if strategy == "vocabulary":
+        return _counts_by_vocabulary(docs, terms, key, body)
+    id_type, key_type = terms.schema["query_id"].dataType, docs.schema[key].dataType
+    output = T.StructType([
+        T.StructField("query_id", id_type),
+        T.StructField(key, key_type),
+        T.StructField("matches", T.LongType()),
+    ])
+    if not carried:
+        return docs.sparkSession.createDataFrame([], output)
+    if keep is not None and keep * len({r["query_id"] for r in carried}) > HELD_BACK_LIMIT:
+        keep = None
+    ship_package(docs.sparkSession)
+    score = score_batches([tuple(r) for r in carried], to_arrow_type(id_type), keep)
+    texts = spread_small_input(docs.select(key, body), key).select(key, F.lower(body).alias("text"))
+    return texts.mapInArrow(score, output)
 
 
 def _document_terms(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -262,7 +256,7 @@ def top_documents_for_queries(
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    scored = match_counts_for_queries(docs, queries, key, body, strategy)
+    scored = _scored(docs, queries, key, body, strategy, keep=max(k, 1))
     best_first = [F.desc("matches"), F.col(key)]
     if k > TRIMMED_RANK_LIMIT:
         # Too many for the automatic trim: cut within slices of each query first.

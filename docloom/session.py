@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -68,6 +70,26 @@ def save_and_reload(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application.
+
+    The workers import the page parser, and need not have it installed.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="docloom-code-"), "docloom")
+    archive = shutil.make_archive(
+        target, "zip", root_dir=os.path.dirname(package), base_dir=os.path.basename(package)
+    )
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
+
+
 def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int) -> DataFrame:
     """Broadcast a side whose row bound is known; otherwise leave the join to Spark."""
     if max_rows * row_bytes <= BROADCAST_LIMIT_BYTES:
