@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators import crawl_log
-from docloom.session import save_and_reload
 from docloom.sources.pages import _exists
 
 SAVED = "run_id string, seq long, ts timestamp, url string, batch long"
@@ -34,7 +33,7 @@ class ProgressStream:
         return self.spark.read.schema(STATE).parquet(path)
 
     def _advance(self, lines: DataFrame, batch: int) -> None:
-        lines = save_and_reload(lines, "log-batch")
+        lines.persist()
         before = self._state(batch - 1)
         saved = crawl_log.saved_urls(
             lines, before.select("run_id", "carried_url"), self.block_lines
@@ -54,6 +53,7 @@ class ProgressStream:
             F.greatest("last_ts", "new_last").alias("last_ts"),
         )
         after.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch}")
+        lines.unpersist()
 
     def start(self, lines: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
