@@ -55,14 +55,17 @@ def rewrite(body: Column, base: Column) -> Column:
 
         return F.array_join(F.zip_with(known["gaps"], known["links"], with_target), "")
 
-    has_relative = F.contains(body, F.lit("](")) & F.regexp_like(
-        body, F.lit(r"\]\((?!#|https?:|mailto:)")
-    )
-    taken_apart = F.struct(
-        F.split(body, C.LINK_PATTERN, -1).alias("gaps"),
-        extract(body).alias("links"),
-        urls.base_parts(base).alias("base"),
-    )
-    return F.when(
-        base.isNotNull() & (base != "") & has_relative, let(taken_apart, rebuild)
-    ).otherwise(body)
+    def rewritten(text: Column) -> Column:
+        has_relative = F.contains(text, F.lit("](")) & F.regexp_like(
+            text, F.lit(r"\]\((?!#|https?:|mailto:)")
+        )
+        taken_apart = F.struct(
+            F.split(text, C.LINK_PATTERN, -1).alias("gaps"),
+            extract(text).alias("links"),
+            urls.base_parts(base).alias("base"),
+        )
+        return F.when(
+            base.isNotNull() & (base != "") & has_relative, let(taken_apart, rebuild)
+        ).otherwise(text)
+
+    return let(body, rewritten)

@@ -56,14 +56,29 @@ def has_rejected_suffix(url: Column) -> Column:
     return F.regexp_extract(name, r"\.([^.]*)\z", 1).isin(C.REJECTED_SUFFIXES)
 
 
+def may_be_page(url: Column) -> Column:
+    """A valid URL that does not end like a file of a rejected type."""
+    return is_valid(url) & ~has_rejected_suffix(url)
+
+
+def parent_folders(url: Column) -> Column:
+    """All folders the URL lies in, from the root down."""
+    return let(
+        F.split(F.when(path(url) == "", "/").otherwise(path(url)), "/", -1),
+        lambda parts: F.transform(
+            F.sequence(F.lit(1), F.size(parts) - 1),
+            lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/")),
+        ),
+    )
+
+
 def in_scope(url: Column, seed_host: Column, seed_directory: Column) -> Column:
     """Same host as the seed, at or below the seed's folder, not a rejected type."""
     url_path = F.when(path(url) == "", "/").otherwise(path(url))
     return (
-        is_valid(url)
+        may_be_page(url)
         & (host(url) == seed_host)
         & F.startswith(url_path, seed_directory)
-        & ~has_rejected_suffix(url)
     )
 
 

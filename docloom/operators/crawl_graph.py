@@ -66,6 +66,7 @@ def mark_internal(links: DataFrame, pages: DataFrame) -> DataFrame:
 
     Only internal targets travel back to the links; a hot target is split by
     the adaptive skew join because each target is a single row on its side.
+    Give it a written table of links: they are read twice.
     """
     internal = link_targets(links, pages).where("is_internal")
     return links.join(internal, "resolved", "left").withColumn(

@@ -32,28 +32,30 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
 
 
 def mark_scope(candidates: DataFrame, seeds: DataFrame, url: str = "resolved") -> DataFrame:
-    """Add ``in_scope``: does any seed of the URL's host admit it?
+    """Add ``in_scope``: does any seed admit the URL?
 
-    Seeds are first reduced to one row per host, so the join keeps the number
-    of candidates. Spark broadcasts the seed side only if its measured size
-    allows that; a host with very many candidates is split by the adaptive
-    skew join otherwise.
+    A URL lies below a seed's folder when that folder is among its own parent
+    folders, so each distinct URL is joined by host and parent folder. This
+    needs no list of seeds per host, however many there are, and a URL that
+    very many pages link to is one row by then. Give it a written table of
+    links: the candidates are read twice.
     """
-    per_host = seeds.groupBy("seed_host").agg(
-        F.collect_set("seed_directory").alias("seed_directories")
+    pool = candidates.select(url).where(urls.may_be_page(F.col(url))).distinct()
+    placed = pool.select(
+        url,
+        urls.host(F.col(url)).alias("seed_host"),
+        F.explode(urls.parent_folders(F.col(url))).alias("seed_directory"),
     )
-    keyed = candidates.withColumn("_host", urls.host(F.col(url)))
-    return (
-        keyed.join(per_host, keyed["_host"] == per_host["seed_host"], "left")
-        .withColumn(
-            "in_scope",
-            F.coalesce(
-                F.exists(
-                    "seed_directories",
-                    lambda d: urls.in_scope(F.col(url), F.col("seed_host"), d),
-                ),
-                F.lit(False),
-            ),
+    admitted = (
+        placed.join(
+            seeds.select("seed_host", "seed_directory").distinct(),
+            ["seed_host", "seed_directory"],
+            "left_semi",
         )
-        .drop("_host", "seed_host", "seed_directories")
+        .select(url)
+        .distinct()
+        .withColumn("in_scope", F.lit(True))
+    )
+    return candidates.join(admitted, url, "left").select(
+        *candidates.columns, F.coalesce("in_scope", F.lit(False)).alias("in_scope")
     )

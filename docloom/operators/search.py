@@ -26,7 +26,8 @@ TERM_PIECE_LENGTH = 64
 
 def matching(docs: DataFrame, query: str, body: str = "body") -> DataFrame:
     """Documents holding at least one keyword of the query."""
-    return docs.where(search.contains_any(F.lower(body), search.tokenize(query)))
+    words = search.tokenize(query)
+    return docs.where(let(F.lower(body), lambda lowered: search.contains_any(lowered, words)))
 
 
 def match_counts(docs: DataFrame, query: str, *keys: str, body: str = "body") -> DataFrame:
@@ -71,8 +72,9 @@ def hits(
 ) -> DataFrame:
     """Ranked results with contexts: ``rank, key, matches, contexts, source_url, fetched_at``.
 
-    Contexts are built for the ``k`` results only. Their number bounds the
-    broadcast side of the second read.
+    Contexts are built for the ``k`` results only, whose number bounds the
+    broadcast side of the second read. They refer to ``matches`` so that no
+    filter on them can move below the join, to all documents.
     """
     best = top_documents(docs, query, key, k, category, body)
     ranked = best.withColumn(
@@ -84,7 +86,10 @@ def hits(
             "rank",
             key,
             "matches",
-            search.contexts(F.col(body), search.tokenize(query), context_lines).alias("context_rows"),
+            F.when(
+                F.col("matches") > 0,
+                search.contexts(F.col(body), search.tokenize(query), context_lines),
+            ).alias("context_rows"),
             F.coalesce("source_url", F.lit(C.UNKNOWN_FIELD)).alias("source_url"),
             F.coalesce(F.col("fetched_at").cast("string"), F.lit(C.UNKNOWN_FIELD)).alias("fetched_at"),
         )

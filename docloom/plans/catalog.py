@@ -28,7 +28,7 @@ from docloom.operators import (
 from docloom.operators import frontmatter as frontmatter_ingest
 from docloom.operators import links as link_tables
 from docloom.operators import search as search_ops
-from docloom.session import work_path
+from docloom.session import save_and_reload, work_path
 from docloom.sources import documents as document_source
 from docloom.sources import logs
 from docloom.sources.collection import IngestLog
@@ -80,9 +80,8 @@ def neighbour_links(pages: DataFrame) -> DataFrame:
 
 def first_pages(pages: DataFrame) -> DataFrame:
     """The page with the least id of every host."""
-    return pages.groupBy(urls.host(F.col("url")).alias("host")).agg(
-        F.min_by("url", "page_id").alias("url")
-    )
+    ids = pages.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min("page_id").alias("page_id"))
+    return pages.select("page_id", "url").join(ids, "page_id").select("host", "url")
 
 
 def derived_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,7 +174,9 @@ def crawl_scope(spark, sf_dir):
             )
         ).alias("resolved"),
     )
-    candidates = scope.page_hrefs(pages).select("page_id", "resolved").unionByName(own)
+    candidates = save_and_reload(
+        scope.page_hrefs(pages).select("page_id", "resolved").unionByName(own), "candidates"
+    )
     seeds = scope.seeds_from_urls(first_pages(pages))
     return scope.mark_scope(candidates, seeds).select("page_id", "resolved", "in_scope")
 

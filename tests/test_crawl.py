@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import schema
+from docloom.functions import urls
 from docloom.operators import crawl_graph, crawl_log, scope
 from docloom.sources import logs
 from docloom.streaming.progress import ProgressStream
@@ -33,6 +34,11 @@ def test_scope_by_seed(spark):
     marked = {r.resolved: r.in_scope for r in scope.mark_scope(candidates, seeds).collect()}
     assert {u for u, ok in marked.items() if ok} == {"https://h/docs/a", "https://h/api/b"}
     assert len(marked) == 6
+    # The same by comparing every candidate with every seed.
+    pairs = candidates.join(seeds).where(
+        urls.in_scope(F.col("resolved"), F.col("seed_host"), F.col("seed_directory"))
+    )
+    assert {r.resolved for r in pairs.collect()} == {u for u, ok in marked.items() if ok}
 
 
 def test_page_hrefs(spark):
