@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from docloom import constants as C
 from docloom.functions.text import let
 
-# RFC 3986 appendix B, with a well-formed scheme.
-URL_PATTERN = r"\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#((?s:.*)))?\z"
-SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = 1, 2, 3, 4, 5
+# RFC 3986 appendix B with a well-formed scheme, one pattern per part, so that
+# finding a part does not match the rest.
+SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
+AUTHORITY = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+PATH = r"\A(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
+QUERY = r"\A[^?#]*\?([^#]*)"
+FRAGMENT = r"\A[^#]*#((?s:.*))"
 
 
-def part(url: Column, index: int) -> Column:
-    return F.regexp_extract(url, URL_PATTERN, index)
+def part(url: Column, pattern: str) -> Column:
+    return F.regexp_extract(url, pattern, 1)
 
 
 def scheme(url: Column) -> Column:

@@ -6,24 +6,23 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom import schema
 from docloom.functions import frontmatter, links, paths, text, urls
 from docloom.operators import page_markdown as pm
 from docloom.session import ship_package, spread_small_input
 
-EXTRACTED = "page_id long, url string, title string, container string, markdown string, warning string, error string"
+PARSED = ["title", "container", "markdown", "warning", "error"]
 
 NO_CONTENT = "no content container"
 
 
 def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: dict[str, list] = {
-            k: [] for k in ("title", "container", "markdown", "warning", "error")
-        }
+        rows: dict[str, list] = {name: [] for name in PARSED}
         for html in batch.column("html"):
             title = container = markdown = warning = error = None
             try:
@@ -37,28 +36,35 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     markdown = pm.to_markdown(found)
             except Exception as failure:  # one bad page never stops the batch
                 error = f"{type(failure).__name__}: {failure}"
-            for key, value in (
-                ("title", title), ("container", container), ("markdown", markdown),
-                ("warning", warning), ("error", error),
-            ):
-                rows[key].append(value)
+            for name, value in zip(PARSED, (title, container, markdown, warning, error)):
+                rows[name].append(value)
+        kept = [name for name in batch.schema.names if name != "html"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url")]
-            + [pa.array(rows[k], pa.string()) for k in rows],
-            names=["page_id", "url", *rows],
+            [batch.column(name) for name in kept] + [pa.array(rows[k], pa.string()) for k in rows],
+            names=[*kept, *rows],
         )
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """Every page with title, container and Markdown, or with an error."""
+    """Every page with title, container and Markdown, or with an error.
+
+    A ``fetched_at`` column of the pages is kept.
+    """
     ship_package(pages.sparkSession)
-    slim = spread_small_input(pages.select("page_id", "url", "html"), "page_id")
-    return slim.mapInArrow(_parse_batches, EXTRACTED)
+    kept = ["page_id", "url"] + [c for c in pages.columns if c == "fetched_at"]
+    slim = spread_small_input(pages.select(*kept, "html"), "page_id")
+    fields = [slim.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in PARSED]
+    return slim.mapInArrow(_parse_batches, T.StructType(fields))
+
 
+def with_document_fields(parsed: DataFrame, run_time: datetime) -> DataFrame:
+    """Document columns next to the parse result, still with failed pages.
 
-def with_document_fields(parsed: DataFrame, fetched_at: datetime | Column) -> DataFrame:
-    """Document columns next to the parse result, still with failed pages."""
-    stamp = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at).cast("timestamp")
+    Pages without a fetch time of their own get the time of the run.
+    """
+    stamp = F.lit(run_time).cast("timestamp")
+    if "fetched_at" in parsed.columns:
+        stamp = F.coalesce(F.col("fetched_at").cast("timestamp"), stamp)
     rel = paths.relative_html_path(F.col("url"))
     source = paths.source_url(rel, urls.scheme(F.col("url")))
     return (

@@ -11,15 +11,23 @@ from docloom import constants as C
 from docloom.functions import paths, search
 from docloom.functions.text import SPACE, let
 from docloom.operators.keyword_batches import score_batches
-from docloom.session import broadcast_if_bounded, save_and_reload, ship_package, spread_small_input
-
-# Query tables up to this many (query, keyword) rows travel to every task.
+from docloom.session import (
+    broadcast_if_bounded,
+    broadcast_if_small,
+    save_and_reload,
+    ship_package,
+    spread_small_input,
+)
+
+# Query tables up to this many (query, keyword) rows and bytes travel to every task.
 CARRIED_TERMS_LIMIT = 20_000
+CARRIED_BYTES_LIMIT = 16 * 1024 * 1024
 # Rows a task may hold back while it looks for its best results.
 HELD_BACK_LIMIT = 1_000_000
 # Below Spark's limit for trimming each task's rows before a ranking shuffle.
 TRIMMED_RANK_LIMIT = 1000
-TOP_ROW_BYTES = 64
+# Generous size of one result row without its body.
+TOP_ROW_BYTES = 4096
 # Long terms (encoded data, say) are cut into pieces of this length first.
 TERM_PIECE_LENGTH = 64
 
@@ -147,15 +155,18 @@ def _scored(
     docs: DataFrame, queries: DataFrame, key: str, body: str, strategy: str, keep: int | None
 ) -> DataFrame:
     terms = query_keywords(queries)
-    carried = []
     if strategy != "vocabulary":
-        carried = terms.limit(CARRIED_TERMS_LIMIT + 1).collect()
-        if len(carried) > CARRIED_TERMS_LIMIT:
+        size = terms.agg(
+            F.count("*").alias("n"),
+            F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("bytes"),
+        ).first()
+        if size["n"] > CARRIED_TERMS_LIMIT or size["bytes"] > CARRIED_BYTES_LIMIT:
             if strategy == "one_pass":
                 raise ValueError("too many keywords to carry; use the vocabulary strategy")
             strategy = "vocabulary"
     if strategy == "vocabulary":
         return _counts_by_vocabulary(docs, terms, key, body)
+    carried = terms.collect()
     id_type, key_type = terms.schema["query_id"].dataType, docs.schema[key].dataType
     output = T.StructType([
         T.StructField("query_id", id_type),
@@ -186,18 +197,16 @@ def _counts_by_vocabulary(docs: DataFrame, terms: DataFrame, key: str, body: str
     length, and an equi-join on the substring finds the keywords it holds.
     """
     terms = save_and_reload(terms, "query-keywords")
-    n_terms = terms.count()
     lengths = sorted(r[0] for r in terms.select(F.length("keyword")).distinct().collect())
     vocabulary = _document_terms(docs, key, body).select("term").distinct()
     held = (
         vocabulary.select("term", F.explode(_substrings(F.col("term"), lengths)).alias("keyword"))
-        .join(broadcast_if_bounded(terms, n_terms, TOP_ROW_BYTES), "keyword")
+        .join(broadcast_if_small(terms), "keyword")
         .groupBy("term", "query_id")
         .agg(F.sum(search.occurrences(F.col("term"), F.col("keyword")) * F.col("weight")).alias("gain"))
     )
     held = save_and_reload(held, "query-terms")
-    n_held = held.count()
-    side = broadcast_if_bounded(held, n_held, TOP_ROW_BYTES)
+    side = broadcast_if_small(held)
     found = _document_terms(docs, key, body).withColumn("n", F.lit(1).cast("long"))
     if side is held:
         # The terms meet in a shuffle, so each document sends every term once.
@@ -284,17 +293,15 @@ def hits_for_queries(
     body: str = "body",
 ) -> DataFrame:
     """Ranked results with contexts for every query."""
-    best = save_and_reload(top_documents_for_queries(docs, queries, key, k, body), "query-hits")
-    with_words = best.join(
-        queries.select("query_id", search.keywords(F.col("query")).alias("words")), "query_id"
-    )
-    side = broadcast_if_bounded(with_words, best.count(), 16 * TOP_ROW_BYTES)
+    best = top_documents_for_queries(docs, queries, key, k, body)
+    with_words = best.join(queries.select("query_id", F.col("query").alias("_query")), "query_id")
+    side = broadcast_if_small(save_and_reload(with_words, "query-hits-words"))
     return docs.join(side, key).select(
         "query_id",
         "rank",
         key,
         "matches",
-        search.contexts(F.col(body), F.col("words"))["snippet"].alias("contexts"),
+        search.contexts(F.col(body), search.keywords(F.col("_query")))["snippet"].alias("contexts"),
         F.coalesce("source_url", F.lit(C.UNKNOWN_FIELD)).alias("source_url"),
         F.coalesce(F.col("fetched_at").cast("string"), F.lit(C.UNKNOWN_FIELD)).alias("fetched_at"),
     )

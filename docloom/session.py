@@ -97,6 +97,20 @@ def broadcast_if_bounded(df: DataFrame, max_rows: int, row_bytes: int) -> DataFr
     return df
 
 
+def table_bytes(df: DataFrame) -> int:
+    """Size of the rows of a written table in memory, from one pass over it."""
+    row = F.lit(16 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        if kind == "string":
+            row = row + F.coalesce(F.octet_length(name), F.lit(0))
+    return df.agg(F.sum(row)).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table when its measured size allows that."""
+    return F.broadcast(df) if table_bytes(df) <= BROADCAST_LIMIT_BYTES else df
+
+
 def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a small input by key before costly per-row work.
 

@@ -115,3 +115,19 @@ def test_outcomes(spark):
     assert Counter({r.outcome: r.n for r in crawl_log.outcomes(runs).collect()}) == Counter(
         {"complete": 2, "network failure": 1, "authentication failure": 1, "server error": 1, "incomplete": 2}
     )
+
+
+def test_reachable_pages(spark):
+    """A chain of seven, a cycle, and links off the host, above the start and to a file."""
+    from docloom.plans.crawl import reachable
+
+    def page(i, *hrefs):
+        return (i, f"https://h/docs/n{i}", "".join(f'<a href="{h}">x</a>' for h in hrefs))
+
+    pages = [page(i, f"n{i + 1}#part") for i in range(6)] + [page(6, "n0")]
+    pages[0] = page(0, "n1#part", "https://other/docs/x", "/above", "x.pdf", "#here", "n0")
+    reached = reachable(
+        spark.createDataFrame(pages, schema.PAGES),
+        spark.createDataFrame([("https://h/docs/n0",)], "url string"),
+    )
+    assert {r.url: r.depth for r in reached.collect()} == {f"https://h/docs/n{i}": i for i in range(6)}

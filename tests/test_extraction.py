@@ -178,3 +178,14 @@ def test_fetch_time_column(spark):
         '---\ntitle: "Untitled"\nsource_url: "https://h/a"\nfetched_at: "2024-05-01T12:00:00.000000+00:00"\n---\n\nx'
     )
     assert row.md_bytes == len(rendered)
+
+
+def test_own_fetch_time_is_kept(spark):
+    own = datetime(2020, 2, 2, tzinfo=timezone.utc)
+    pages = spark.createDataFrame(
+        [(1, "https://h/a", "<main>x</main>", own), (2, "https://h/b", "<main>x</main>", None)],
+        "page_id long, url string, html string, fetched_at timestamp",
+    )
+    docs, _ = convert(pages, STAMP)
+    at = {r.page_id: r.t for r in docs.select("page_id", F.unix_timestamp("fetched_at").alias("t")).collect()}
+    assert at == {1: int(own.timestamp()), 2: int(STAMP.timestamp())}
