@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Unicode white space plus the four ASCII separators.
 SPACE = r"[\s\x1C-\x1F]"
 LINE_BREAK = r"[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029](?:(?<=\r)\n)?"
+BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85" + chr(0x2028) + chr(0x2029)
 # White space that does not break a line.
 BLANKS = "\t \x1f\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
@@ -20,7 +21,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trim_space(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)\A{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
+    return F.btrim(col, F.lit(BLANKS + BREAKS))
 
 
 def split_lines(col: Column) -> Column:

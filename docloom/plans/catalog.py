@@ -28,7 +28,7 @@ from docloom.operators import (
 from docloom.operators import frontmatter as frontmatter_ingest
 from docloom.operators import links as link_tables
 from docloom.operators import search as search_ops
-from docloom.session import save_and_reload, work_path
+from docloom.session import save_and_reload, spread_small_input, work_path
 from docloom.sources import documents as document_source
 from docloom.sources import logs
 from docloom.sources.collection import IngestLog
@@ -50,8 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_source.from_prose_table(table(spark, sf_dir, "documents"))
+def prose(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Documents as a collection; ``spread`` for costly work on a small table."""
+    documents = table(spark, sf_dir, "documents")
+    if spread:
+        documents = spread_small_input(documents, "doc_id")
+    return document_source.from_prose_table(documents)
 
 
 def sized_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ def linked_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("body"),
         F.lit("\n[up](../up?q=1#f) [p](/p \"T\") [c](d/./e/../f.html)"),
     )
-    return prose(spark, sf_dir).withColumn("body", body)
+    return prose(spark, sf_dir, spread=True).withColumn("body", body)
 
 
 def neighbour_links(pages: DataFrame) -> DataFrame:
@@ -310,7 +314,7 @@ def rejects_by_stage(spark, sf_dir):
 @query
 def clean_text(spark, sf_dir):
     blanks = F.replace("text", F.lit("\n"), F.lit(" \t \n\n\n\n \n"))
-    return table(spark, sf_dir, "documents").select(
+    return spread_small_input(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", text.clean_markdown(F.concat(blanks, F.lit(" \n"))).alias("cleaned")
     )
 
@@ -324,7 +328,7 @@ def _with_header(spark, sf_dir):
         F.col("source_url"),
         F.lit("2024-01-01T00:00:00+00:00"),
     )
-    return prose(spark, sf_dir).withColumn("frontmatter", header)
+    return prose(spark, sf_dir, spread=True).withColumn("frontmatter", header)
 
 
 @query
@@ -337,8 +341,11 @@ def parse_frontmatter(spark, sf_dir):
     files = _with_header(spark, sf_dir).select(
         "doc_id", F.concat("frontmatter", "body").alias("content")
     )
+    # Exploding the expression, not the column, lets Spark compute it once.
     return frontmatter_ingest.parse_plain(files).select(
-        "doc_id", F.length("body").alias("body_length"), F.explode("fields").alias("key", "value")
+        "doc_id",
+        F.length("body").alias("body_length"),
+        F.explode(frontmatter.fields(F.col("content"))).alias("key", "value"),
     )
 
 

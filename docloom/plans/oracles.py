@@ -182,7 +182,12 @@ SELECT host AS bundle, count(*) FILTER (ends_with(doc_path, 'index.md')) AS n_in
 
 # ---- extraction -----------------------------------------------------------
 
-TITLE = r"""trim(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'))"""
+def unescaped(text: str) -> str:
+    """Entities of the pages; the last one of a cut title lacks its semicolon."""
+    return f"""regexp_replace(regexp_replace({text}, '&quot;?', '"', 'g'), '&amp;?', '&', 'g')"""
+
+
+TITLE = "trim(" + unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)") + ")"
 
 ORACLES["page_titles"] = f"SELECT page_id, {TITLE} AS title FROM pages"
 
@@ -214,7 +219,7 @@ spaced AS (
   SELECT *, regexp_replace(regexp_replace(raw, ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') AS tidy FROM marks
 ),
 final AS (
-  SELECT *, replace(replace(rtrim(tidy, ' ' || chr(10)), '&quot;', '"'), '&amp;', '&') || repeat('**', n_bold) AS body FROM spaced
+  SELECT *, {unescaped("rtrim(tidy, ' ' || chr(10))")} || repeat('**', n_bold) AS body FROM spaced
 )
 SELECT page_id, doc_path, title, source_url, body,
        strlen('---' || chr(10) || 'title: "' || replace(replace(title, '\', '\\'), '"', '\"') || '"' || chr(10)

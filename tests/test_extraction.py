@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom import constants as C
-from docloom.operators import collisions, extraction
+from docloom.operators import bundles, collisions, extraction
 from docloom.operators import page_markdown as pm
 from docloom.plans.corpus import build, convert
 from docloom.sources.collection import Collection
@@ -93,22 +93,19 @@ def test_very_deep_nesting():
 
 
 SITE = [
-    ("index.html", "Home"), ("getting-started/index.html", "Getting Started"),
-    ("getting-started/installation.html", "Installation"), ("api/index.html", "API Overview"),
-    ("api/authentication.html", "Authentication"), ("api/reference/index.html", "API Reference"),
-    ("api/reference/users.html", "Users API"), ("guides/index.html", "Guides"),
-    ("guides/quickstart.html", "Quickstart Guide"), ("guides/advanced/index.html", "Advanced Topics"),
+    "index", "install/index", "install/linux", "install/linux/index", "rest/index", "rest/tokens",
+    "rest/v2/index", "rest/v2/orders", "faq", "about/team/index",
 ]
 
 
 def test_saved_site_becomes_a_bundle(spark, tmp_path):
-    root = tmp_path / "crawl" / "docs.example.com"
-    for name, heading in SITE:
-        file = root / name
+    root = tmp_path / "crawl" / "kb.example.net"
+    for name in SITE:
+        file = root / f"{name}.html"
         file.parent.mkdir(parents=True, exist_ok=True)
         file.write_text(
-            f"<!DOCTYPE html><html><head><title>{heading}</title></head><body><main><h1>{heading}</h1>"
-            f"<p>See <a href='other.html'>other</a>.</p></main></body></html>"
+            f"<head><title>Page {name}</title></head><body><nav>skip</nav><main><h1>{name.upper()}</h1>"
+            f"<p>Go <a href='next.html'>on</a>.</p></main>"
         )
     (root / "style.css").write_text("x")
     pages = read_html_tree(spark, str(tmp_path / "crawl"))
@@ -116,23 +113,24 @@ def test_saved_site_becomes_a_bundle(spark, tmp_path):
     store = Collection(spark, str(tmp_path / "store"))
     report, rejects = build(pages, store, STAMP, export_path=str(tmp_path / "out"))
     docs = {r.doc_path: r for r in store.read().collect()}
-    assert set(docs) == {"docs.example.com/" + n.replace(".html", ".md") for n, _ in SITE}
-    users = docs["docs.example.com/api/reference/users.md"]
-    assert users.source_url == "https://docs.example.com/api/reference/users"
-    assert users.title == "Users API"
-    assert users.body == "# Users API\n\nSee [other](https://docs.example.com/api/reference/other.html)."
+    assert set(docs) == {f"kb.example.net/{name}.md" for name in SITE}
+    orders = docs["kb.example.net/rest/v2/orders.md"]
+    assert orders.source_url == "https://kb.example.net/rest/v2/orders"
+    assert orders.title == "Page rest/v2/orders"
+    assert orders.body == "# REST/V2/ORDERS\n\nGo [on](https://kb.example.net/rest/v2/next.html)."
     [row] = report.collect()
-    assert (row.bundle, row.n_md, row.valid, row.errors, row.warnings) == ("docs.example.com", 10, True, [], [])
+    assert (row.bundle, row.n_md, row.valid, row.errors, row.warnings) == ("kb.example.net", 10, True, [], [])
+    assert bundles.index_pages(store.read()).first().n_index == 6
     assert rejects.count() == 0
-    assert spark.read.parquet(str(tmp_path / "out")).where("bundle = 'docs.example.com'").count() == 10
+    assert spark.read.parquet(str(tmp_path / "out")).where("bundle = 'kb.example.net'").count() == 10
     # A second delivery overwrites its path and keeps the others.
     newer = spark.createDataFrame(
-        [(1, "https://docs.example.com/index.html", "<main>New</main>")], "page_id long, url string, html string"
+        [(1, "https://kb.example.net/index.html", "<main>New</main>")], "page_id long, url string, html string"
     )
     build(newer, store, STAMP)
     assert store.version() == 2
     again = {r.doc_path: r.body for r in store.read().collect()}
-    assert len(again) == 10 and again["docs.example.com/index.md"] == "New"
+    assert len(again) == 10 and again["kb.example.net/index.md"] == "New"
 
 
 def test_missing_folder_is_empty(spark, tmp_path):

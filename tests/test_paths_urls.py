@@ -37,9 +37,9 @@ def test_markdown_path(apply):
 
 
 def test_source_url(apply):
-    rels = ["docs.pay.jp/v1/cardtoken.html", "h/v1/index.html", "h/plain"]
+    rels = ["docs.shop.example/v1/cards.html", "h/v1/index.html", "h/plain"]
     assert apply(rels, paths.source_url(V(), F.lit("https"))) == [
-        "https://docs.pay.jp/v1/cardtoken", "https://h/v1/index", "https://h/plain",
+        "https://docs.shop.example/v1/cards", "https://h/v1/index", "https://h/plain",
     ]
     assert apply(["h/x.html"], paths.source_url(V(), F.lit(""))) == ["https://h/x"]
 
