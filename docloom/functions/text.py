@@ -39,4 +39,14 @@ def clean_markdown(col: Column) -> Column:
         kept = F.when(ended, F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
         return F.array_join(F.transform(kept, lambda line: F.rtrim(line, F.lit(BLANKS))), "\n")
 
-    return let(F.split(F.regexp_replace(col, r"\n{3,}", "\n\n"), LINE_BREAK, -1), join)
+    def lines_of(collapsed: Column) -> Column:
+        # Plain searches rule out the rare breaks faster than the pattern finds them.
+        odd = F.lit(False)
+        for char in BREAKS[1:]:
+            odd = odd | F.contains(collapsed, F.lit(char))
+        return F.when(odd, F.split(collapsed, LINE_BREAK, -1)).otherwise(split_lines(collapsed))
+
+    collapsed = F.when(
+        F.contains(col, F.lit("\n\n\n")), F.regexp_replace(col, r"\n{3,}", "\n\n")
+    ).otherwise(col)
+    return let(let(collapsed, lines_of), join)
