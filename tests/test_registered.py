@@ -5,7 +5,9 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = sorted(entry.queries())
+from docloom.plans import catalog
+
+NAMES = sorted(catalog.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +16,7 @@ def tables(small):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
