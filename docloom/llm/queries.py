@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, quality_rules, url_filters
+from docloom.llm import (
+    exact_dedup,
+    language_id,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    toxicity,
+    url_filters,
+)
 from docloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,11 +64,31 @@ def op4_url_filters(spark, sf_dir):
     return url_filters.filter_captures(captures, list_events(pages))
 
 
+@query
+def op5_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_exact_dedup(spark, sf_dir):
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_quality_classifier(spark, sf_dir):
+    return quality_classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_quality_rules"] = r"""
