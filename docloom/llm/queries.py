@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import (
+    bpe,
     exact_dedup,
     language_id,
+    packing,
     quality_classifier,
     quality_rules,
     simhash,
@@ -31,6 +34,18 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_packing(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op3_byte_bpe(spark, sf_dir):
+    return bpe.report(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+
+
 def list_events(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of ``pages``.
 
