@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +43,22 @@ def words(text: Column) -> Column:
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null ids are in fold 0."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds, F.lit(0)).cast("int")
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Shuffle files go as soon as the query that made them has ended, not with the session's memory."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def discard(df: DataFrame, path: str) -> None:
+    """Remove an intermediate table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)

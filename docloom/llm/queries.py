@@ -12,6 +12,7 @@ from docloom.llm import (
     bpe,
     exact_dedup,
     language_id,
+    language_model,
     packing,
     quality_classifier,
     quality_rules,
@@ -99,6 +100,11 @@ def op8_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_katz_model(spark, sf_dir):
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
