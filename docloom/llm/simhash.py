@@ -222,9 +222,9 @@ def links(prints: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
     if aside.isEmpty():
         return found
     # Crowded anchors: blocks by a hash of the fingerprint, every two of them compared by one task.
-    blocks = aside.groupBy("key").agg(F.ceil(2 * F.count("*") / limit).cast("int").alias("blocks"))
-    placed = aside.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("long"))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long")).select(
+    blocks = aside.groupBy("key").agg(F.ceil(2 * F.count("*") / limit).cast("long").alias("blocks"))
+    placed = aside.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp"
     )
     crowded = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
