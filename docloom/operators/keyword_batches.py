@@ -58,6 +58,8 @@ def score_batches(
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Function for ``mapInArrow`` over ``(key, text)`` giving ``(query_id, key, matches)``.
 
+    The key is a struct, ordered by its fields.
+
     ``terms`` holds ``(query_id, keyword, weight)``. With ``keep`` only the
     best rows per query of the whole task leave it, ties going to the lower key.
     """
@@ -109,12 +111,12 @@ def score_batches(
                     if len(row) > keep:
                         least = np.partition(column[row], -keep)[-keep]
                         row = row[column[row] >= least]
-                    added = [(-int(column[r]), keys[int(r)].as_py()) for r in row]
+                    added = [(-int(column[r]), tuple(keys[int(r)].as_py().values())) for r in row]
                     best[query] = sorted(best[query] + added)[:keep]
         flat = [(q, key, -m) for q, found in enumerate(best) for m, key in found]
         if flat:
-            yield rows(
-                [f[0] for f in flat], pa.array([f[1] for f in flat], key_type), [f[2] for f in flat], names
-            )
+            fields = [f.name for f in key_type]
+            keys = pa.array([dict(zip(fields, f[1], strict=True)) for f in flat], key_type)
+            yield rows([f[0] for f in flat], keys, [f[2] for f in flat], names)
 
     return all_rows if keep is None else best_rows

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from docloom import constants as C
 from docloom.functions import paths, search
-from docloom.functions.text import SPACE, let
+from docloom.functions.text import let
 from docloom.operators.keyword_batches import score_batches
 from docloom.session import (
     broadcast_if_bounded,
@@ -19,17 +21,19 @@ from docloom.session import (
     spread_small_input,
 )
 
-# Query tables up to this many (query, keyword) rows and bytes travel to every task.
-CARRIED_TERMS_LIMIT = 20_000
-CARRIED_BYTES_LIMIT = 16 * 1024 * 1024
-# Rows a task may hold back while it looks for its best results.
-HELD_BACK_LIMIT = 1_000_000
-# Below Spark's limit for trimming each task's rows before a ranking shuffle.
-TRIMMED_RANK_LIMIT = 1000
+# The query table is cut into slices. Each is carried to the tasks and holds about
+# so many keywords and bytes, and so many best rows that a task has to remember.
+SLICE_TERMS = 20_000
+SLICE_BYTES = 16 * 1024 * 1024
+SLICE_ROWS = 1_000_000
+# A document is known by its bundle and its path there.
+KEY = ["bundle", "doc_path"]
 # Generous size of one result row without its body.
 TOP_ROW_BYTES = 4096
-# Long terms (encoded data, say) are cut into pieces of this length first.
-TERM_PIECE_LENGTH = 64
+
+
+def key_columns(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
 
 
 def matching(docs: DataFrame, query: str, body: str = "body") -> DataFrame:
@@ -50,7 +54,7 @@ def match_counts(docs: DataFrame, query: str, *keys: str, body: str = "body") ->
 def top_documents(
     docs: DataFrame,
     query: str,
-    key: str = "doc_path",
+    key: str | list[str] = KEY,
     k: int = C.DEFAULT_MAX_RESULTS,
     category: str | None = None,
     body: str = "body",
@@ -62,17 +66,29 @@ def top_documents(
     """
     if k < 0:
         raise ValueError("k must not be negative")
+    keys = key_columns(key)
     pool = docs if category is None else docs.where(paths.in_category(F.col("doc_path"), category))
     counted = pool.select(
-        key, search.match_count(F.col(body), search.tokenize(query)).alias("matches")
+        *keys, search.match_count(F.col(body), search.tokenize(query)).alias("matches")
     )
-    return counted.orderBy(F.desc("matches"), key).limit(k).where("matches > 0")
+    return counted.orderBy(F.desc("matches"), *keys).limit(k).where("matches > 0")
+
+
+def only(docs: DataFrame, wanted: list, keys: list[str]) -> DataFrame:
+    """Rows whose key columns hold values of the ``wanted`` rows, as literals.
+
+    Literal filters reach the file scan. In a collection, which is ranged by its
+    key, the scan then skips the files and row groups of all other documents.
+    """
+    for name in keys:
+        docs = docs.where(F.col(name).isin(sorted({r[name] for r in wanted})))
+    return docs
 
 
 def hits(
     docs: DataFrame,
     query: str,
-    key: str = "doc_path",
+    key: str | list[str] = KEY,
     k: int = C.DEFAULT_MAX_RESULTS,
     category: str | None = None,
     body: str = "body",
@@ -80,19 +96,25 @@ def hits(
 ) -> DataFrame:
     """Ranked results with contexts: ``rank, key, matches, contexts, source_url, fetched_at``.
 
-    Contexts are built for the ``k`` results only, whose number bounds the
-    broadcast side of the second read. They refer to ``matches`` so that no
-    filter on them can move below the join, to all documents.
+    The ``k`` results are found first, and only their documents are read again.
+    Contexts refer to ``matches`` so that no filter on them can move below the
+    join, to all documents.
     """
-    best = top_documents(docs, query, key, k, category, body)
-    ranked = best.withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.desc("matches"), key))
+    keys = key_columns(key)
+    best = top_documents(docs, query, keys, k, category, body).collect()
+    rows = [(i, *(r[c] for c in keys), r["matches"]) for i, r in enumerate(best, 1)]
+    ranked = docs.sparkSession.createDataFrame(
+        rows,
+        T.StructType([
+            T.StructField("rank", T.IntegerType()), *(docs.schema[c] for c in keys), T.StructField("matches", T.LongType())
+        ]),
     )
     return (
-        docs.join(broadcast_if_bounded(ranked, k, TOP_ROW_BYTES), key)
+        only(docs, best, keys)
+        .join(broadcast_if_bounded(ranked, k, TOP_ROW_BYTES), keys)
         .select(
             "rank",
-            key,
+            *keys,
             "matches",
             F.when(
                 F.col("matches") > 0,
@@ -137,131 +159,61 @@ def query_keywords(queries: DataFrame) -> DataFrame:
 def match_counts_for_queries(
     docs: DataFrame,
     queries: DataFrame,
-    key: str = "doc_path",
+    key: str | list[str] = KEY,
     body: str = "body",
-    strategy: str = "auto",
+    slice_terms: int = SLICE_TERMS,
 ) -> DataFrame:
-    """``(query_id, key, matches)`` for every query and every document it matches.
-
-    A query table of limited size travels to the tasks, which count all its
-    keywords in one pass over each body (``one_pass``). A larger one is matched
-    against the corpus vocabulary by joins, and documents are scored from
-    their terms (``vocabulary``). Both give the same rows.
-    """
-    return _scored(docs, queries, key, body, strategy, keep=None)
+    """``(query_id, key, matches)`` for every query and every document it matches."""
+    return _scored(docs, queries, key_columns(key), body, slice_terms, keep=None)
 
 
 def _scored(
-    docs: DataFrame, queries: DataFrame, key: str, body: str, strategy: str, keep: int | None
+    docs: DataFrame, queries: DataFrame, keys: list[str], body: str, slice_terms: int, keep: int | None
 ) -> DataFrame:
-    terms = query_keywords(queries)
-    if strategy != "vocabulary":
-        size = terms.agg(
-            F.count("*").alias("n"),
-            F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("bytes"),
-        ).first()
-        if size["n"] > CARRIED_TERMS_LIMIT or size["bytes"] > CARRIED_BYTES_LIMIT:
-            if strategy == "one_pass":
-                raise ValueError("too many keywords to carry; use the vocabulary strategy")
-            strategy = "vocabulary"
-    if strategy == "vocabulary":
-        return _counts_by_vocabulary(docs, terms, key, body)
-    carried = terms.collect()
-    id_type, key_type = terms.schema["query_id"].dataType, docs.schema[key].dataType
+    """Match counts, by one pass over the bodies for each slice of the query table.
+
+    A slice is a hash part of the queries, so its size is bounded and all tables
+    of queries are handled by the same plan. Its keywords travel to the tasks,
+    which count them all in one pass over each body; no row is shuffled for it.
+    """
+    terms = save_and_reload(query_keywords(queries), "query-keywords")
+    size = terms.agg(
+        F.count("*").alias("n"),
+        F.coalesce(F.sum(F.octet_length("keyword")), F.lit(0)).alias("bytes"),
+        F.count_distinct("query_id").alias("queries"),
+    ).first()
+    held = size["queries"] * (keep or 0)
+    slices = max(1, *(math.ceil(a / b) for a, b in (
+        (size["n"], slice_terms), (size["bytes"], SLICE_BYTES), (held, SLICE_ROWS)
+    )))
+    id_type = terms.schema["query_id"].dataType
+    key_type = T.StructType([docs.schema[c] for c in keys])
     output = T.StructType([
         T.StructField("query_id", id_type),
-        T.StructField(key, key_type),
+        T.StructField("key", key_type),
         T.StructField("matches", T.LongType()),
     ])
-    if not carried:
-        return docs.sparkSession.createDataFrame([], output)
-    if keep is not None and keep * len({r["query_id"] for r in carried}) > HELD_BACK_LIMIT:
-        keep = None
     ship_package(docs.sparkSession)
-    score = score_batches([tuple(r) for r in carried], to_arrow_type(id_type), keep)
-    texts = spread_small_input(docs.select(key, body), key).select(key, F.lower(body).alias("text"))
-    return texts.mapInArrow(score, output)
-
-
-def _document_terms(docs: DataFrame, key: str, body: str) -> DataFrame:
-    return docs.select(
-        key, F.explode(F.split(F.lower(body), rf"{SPACE}+")).alias("term")
-    ).where("term <> ''")
-
-
-def _counts_by_vocabulary(docs: DataFrame, terms: DataFrame, key: str, body: str) -> DataFrame:
-    """Score documents from their term counts.
-
-    A keyword holds no white space, so each of its occurrences lies inside one
-    term of the body. A distinct term is cut into its substrings of keyword
-    length, and an equi-join on the substring finds the keywords it holds.
-    """
-    terms = save_and_reload(terms, "query-keywords")
-    lengths = sorted(r[0] for r in terms.select(F.length("keyword")).distinct().collect())
-    vocabulary = _document_terms(docs, key, body).select("term").distinct()
-    held = (
-        vocabulary.select("term", F.explode(_substrings(F.col("term"), lengths)).alias("keyword"))
-        .join(broadcast_if_small(terms), "keyword")
-        .groupBy("term", "query_id")
-        .agg(F.sum(search.occurrences(F.col("term"), F.col("keyword")) * F.col("weight")).alias("gain"))
-    )
-    held = save_and_reload(held, "query-terms")
-    side = broadcast_if_small(held)
-    found = _document_terms(docs, key, body).withColumn("n", F.lit(1).cast("long"))
-    if side is held:
-        # The terms meet in a shuffle, so each document sends every term once.
-        found = found.groupBy(key, "term").agg(F.sum("n").alias("n"))
-    return (
-        found.join(side, "term")
-        .groupBy("query_id", key)
-        .agg(F.sum(F.col("n") * F.col("gain")).alias("matches"))
+    texts = spread_small_input(docs.select(*keys, body), *keys).select(
+        F.struct(*keys).alias("key"), F.lower(body).alias("text")
     )
-
-
-def _substrings(term: Column, lengths: list[int]) -> Column:
-    """Distinct substrings of the given lengths, in time linear in the term.
-
-    Pieces are extended into their right neighbours, so no substring is missed
-    at a cut.
-    """
-    longest = lengths[-1] if lengths else 1
-    size = max(TERM_PIECE_LENGTH, longest)
-
-    def within(piece: Column) -> Column:
-        return F.flatten(
-            F.array(
-                *[
-                    F.when(
-                        F.length(piece) >= n,
-                        F.transform(
-                            F.sequence(F.lit(1), F.length(piece) - n + 1),
-                            lambda i: F.substr(piece, i, F.lit(n)),
-                        ),
-                    ).otherwise(F.array().cast("array<string>"))
-                    for n in lengths or [1]
-                ]
-            )
-        )
-
-    def from_pieces(pieces: Column) -> Column:
-        extended = F.transform(
-            pieces,
-            lambda p, i: F.concat(
-                p, F.substr(F.coalesce(F.get(pieces, i + 1), F.lit("")), F.lit(1), F.lit(longest - 1))
-            ),
-        )
-        return F.array_distinct(F.flatten(F.transform(extended, within)))
-
-    return let(F.regexp_extract_all(term, F.lit(rf"(?s).{{1,{size}}}"), 0), from_pieces)
+    found = docs.sparkSession.createDataFrame([], output)
+    for part in range(slices):
+        mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
+        carried = [tuple(r) for r in mine.collect()]
+        if carried:
+            score = score_batches(carried, to_arrow_type(id_type), keep)
+            found = found.unionByName(texts.mapInArrow(score, output))
+    return found.select("query_id", "key.*", "matches")
 
 
 def top_documents_for_queries(
     docs: DataFrame,
     queries: DataFrame,
-    key: str = "doc_path",
+    key: str | list[str] = KEY,
     k: int = C.DEFAULT_MAX_RESULTS,
     body: str = "body",
-    strategy: str = "auto",
+    slice_terms: int = SLICE_TERMS,
 ) -> DataFrame:
     """Best ``k`` documents per query with their rank.
 
@@ -270,36 +222,28 @@ def top_documents_for_queries(
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    scored = _scored(docs, queries, key, body, strategy, keep=max(k, 1))
-    best_first = [F.desc("matches"), F.col(key)]
-    if k > TRIMMED_RANK_LIMIT:
-        # Too many for the automatic trim: cut within slices of each query first.
-        scored = scored.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(1024)))
-        in_slice = Window.partitionBy("query_id", "_slice").orderBy(*best_first)
-        scored = (
-            scored.withColumn("_place", F.row_number().over(in_slice))
-            .where(F.col("_place") <= k)
-            .drop("_slice", "_place")
-        )
-    in_query = Window.partitionBy("query_id").orderBy(*best_first)
+    keys = key_columns(key)
+    scored = _scored(docs, queries, keys, body, slice_terms, keep=max(k, 1))
+    in_query = Window.partitionBy("query_id").orderBy(F.desc("matches"), *keys)
     return scored.withColumn("rank", F.row_number().over(in_query)).where(F.col("rank") <= k)
 
 
 def hits_for_queries(
     docs: DataFrame,
     queries: DataFrame,
-    key: str = "doc_path",
+    key: str | list[str] = KEY,
     k: int = C.DEFAULT_MAX_RESULTS,
     body: str = "body",
 ) -> DataFrame:
     """Ranked results with contexts for every query."""
-    best = top_documents_for_queries(docs, queries, key, k, body)
+    keys = key_columns(key)
+    best = top_documents_for_queries(docs, queries, keys, k, body)
     with_words = best.join(queries.select("query_id", F.col("query").alias("_query")), "query_id")
     side = broadcast_if_small(save_and_reload(with_words, "query-hits-words"))
-    return docs.join(side, key).select(
+    return docs.join(side, keys).select(
         "query_id",
         "rank",
-        key,
+        *keys,
         "matches",
         search.contexts(F.col(body), search.keywords(F.col("_query")))["snippet"].alias("contexts"),
         F.coalesce("source_url", F.lit(C.UNKNOWN_FIELD)).alias("source_url"),

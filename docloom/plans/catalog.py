@@ -421,6 +421,29 @@ def multi_query_search(spark, sf_dir):
     return search_ops.top_documents_for_queries(prose(spark, sf_dir), queries, "doc_id")
 
 
+@query
+def multi_query_sliced(spark, sf_dir):
+    """The same with a query table that is cut into many slices."""
+    queries = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query")
+    )
+    docs = prose(spark, sf_dir)
+    terms = search_ops.query_keywords(queries).count()
+    return search_ops.top_documents_for_queries(docs, queries, "doc_id", slice_terms=max(1, terms // 5))
+
+
+@query
+def hits_of_twin_bundles(spark, sf_dir):
+    """Every document under one path in two bundles; the second copy has one more match."""
+    docs = prose(spark, sf_dir).withColumn("doc_path", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    twins = docs.withColumn("bundle", F.lit("a")).unionByName(
+        docs.withColumn("bundle", F.lit("b")).withColumn("body", F.concat("body", F.lit("\nthat")))
+    )
+    return search_ops.hits(twins, QUERY).select(
+        F.col("rank").cast("long").alias("rank"), "bundle", "doc_path", "matches", "source_url"
+    )
+
+
 @query
 def multi_query_counts(spark, sf_dir):
     """All matches of one query per language: its code, twice, and a common word."""

@@ -340,6 +340,14 @@ SELECT query_id, doc_id, matches, row_number() OVER (PARTITION BY query_id ORDER
 FROM scored QUALIFY rank <= 10"""
 )
 
+ORACLES["multi_query_sliced"] = ORACLES["multi_query_search"]
+
+ORACLES["hits_of_twin_bundles"] = f"WITH {MATCHES}" + r"""
+SELECT row_number() OVER (ORDER BY matches + extra DESC, bundle, name) AS rank, bundle, name AS doc_path,
+       matches + extra AS matches, source_url
+FROM (SELECT unnest(['a', 'b']) AS bundle, unnest([0, 1]) AS extra, doc_id || '.md' AS name, matches, source_url FROM counted)
+WHERE matches + extra > 0 QUALIFY rank <= 10"""
+
 ORACLES["multi_query_counts"] = (
     "WITH queries AS (SELECT DISTINCT lang AS query_id, concat_ws(' ', lang, lang, 'the') AS query FROM documents),"
     + many_queries("queries") + "SELECT query_id, doc_id, matches FROM scored"

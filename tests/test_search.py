@@ -5,11 +5,11 @@ from docloom.functions import search
 from docloom.operators import lines, search as ops
 from docloom.operators.keyword_batches import KeywordCounter
 
-SCHEMA = "doc_path string, source_url string, fetched_at timestamp, body string"
+SCHEMA = "bundle string, doc_path string, source_url string, fetched_at timestamp, body string"
 
 
 def docs_of(spark, bodies):
-    return spark.createDataFrame([(p, None, None, b) for p, b in bodies.items()], SCHEMA)
+    return spark.createDataFrame([("k", p, None, None, b) for p, b in bodies.items()], SCHEMA)
 
 
 def with_hits(n, hit_lines):
@@ -127,19 +127,19 @@ BODIES = {
 MANY = [(1, "the"), (2, "the the AN"), (3, ""), (4, "anan b"), (5, "needle xneed"), (6, "é 日本"), (7, "absent"), (8, "aa")]
 
 
-@pytest.mark.parametrize("strategy", ["one_pass", "vocabulary", "auto"])
-def test_many_queries_equal_brute_force(spark, strategy):
+@pytest.mark.parametrize("slice_terms", [ops.SLICE_TERMS, 4, 1])
+def test_many_queries_equal_brute_force(spark, slice_terms):
     docs = docs_of(spark, BODIES)
     queries = spark.createDataFrame(MANY, "query_id long, query string")
-    got = ops.match_counts_for_queries(docs, queries, strategy=strategy)
+    got = ops.match_counts_for_queries(docs, queries, slice_terms=slice_terms)
     assert {tuple(r) for r in got.select("query_id", "doc_path", "matches").collect()} == brute_force(BODIES, MANY)
 
 
-@pytest.mark.parametrize("strategy,k", [("one_pass", 2), ("vocabulary", 2), ("one_pass", 1001)])
-def test_many_queries_ranked(spark, strategy, k):
+@pytest.mark.parametrize("slice_terms,k", [(ops.SLICE_TERMS, 2), (3, 2), (ops.SLICE_TERMS, 1001)])
+def test_many_queries_ranked(spark, slice_terms, k):
     docs = docs_of(spark, BODIES).repartition(3)
     queries = spark.createDataFrame(MANY, "query_id long, query string")
-    got = ops.top_documents_for_queries(docs, queries, k=k, strategy=strategy).collect()
+    got = ops.top_documents_for_queries(docs, queries, k=k, slice_terms=slice_terms).collect()
     expected = set()
     for query_id, _ in MANY:
         mine = sorted((-n, p) for q, p, n in brute_force(BODIES, MANY) if q == query_id)
@@ -147,16 +147,24 @@ def test_many_queries_ranked(spark, strategy, k):
     assert {(r.query_id, r.doc_path, r.matches, r["rank"]) for r in got} == expected
 
 
-def test_strategies_agree_on_driver_tables(spark, small):
-    from docloom.plans.catalog import prose
+def test_long_unbroken_text_and_plan_without_pairs(spark):
+    docs = docs_of(spark, {"long": "ab" * 500_000 + "needle", "b": "needle"})
+    queries = spark.createDataFrame([(1, "needle"), (2, "ba")], "query_id long, query string")
+    got = ops.match_counts_for_queries(docs, queries, slice_terms=1)
+    assert {tuple(r) for r in got.drop("bundle").collect()} == {(1, "long", 1), (1, "b", 1), (2, "long", 499_999)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
 
-    queries = spark.read.parquet(f"{small}/benchmark.parquet").selectExpr("item_id query_id", "text query")
-    one, other = (
-        ops.match_counts_for_queries(prose(spark, small), queries, "doc_id", strategy=s)
-        .select("query_id", "doc_id", "matches")
-        for s in ("one_pass", "vocabulary")
+
+def test_equal_paths_in_two_bundles(spark):
+    docs = docs_of(spark, {"x": "foo foo"}).withColumn("bundle", F.lit("one")).unionByName(
+        docs_of(spark, {"x": "foo"}).withColumn("bundle", F.lit("two"))
     )
-    assert {tuple(r) for r in one.collect()} == {tuple(r) for r in other.collect()}
+    found = {(r.bundle, r.doc_path, r.matches, len(r.contexts)) for r in ops.hits(docs, "foo").collect()}
+    assert found == {("one", "x", 2, 1), ("two", "x", 1, 1)}
+    queries = spark.createDataFrame([(1, "foo")], "query_id long, query string")
+    many = {(r.bundle, r.doc_path, r.matches) for r in ops.hits_for_queries(docs, queries).collect()}
+    assert many == {("one", "x", 2), ("two", "x", 1)}
 
 
 def test_hits_for_queries(spark):
