@@ -3,6 +3,9 @@
 # Crawl scope.
 ALLOWED_SCHEMES = ["http", "https"]
 MAX_CRAWL_DEPTH = 5
+
+# Columns that one table cell may span when a page is rendered.
+MAX_COLSPAN = 1000
 REJECTED_SUFFIXES = [
     "css", "js", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff", "woff2",
     "ttf", "eot", "zip", "tar", "gz", "pdf", "xml", "json", "txt",

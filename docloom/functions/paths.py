@@ -12,6 +12,8 @@ from docloom.functions import urls
 def relative_html_path(url: Column) -> Column:
     """``host/path.html`` under which a crawler stores a page; the query is kept."""
     bare = F.regexp_replace(urls.without_fragment(url), r"\A[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    host = F.regexp_extract(bare, r"\A[^/?]*", 0)
+    bare = F.concat(F.lower(host), F.substr(bare, F.length(host) + 1))
     with_root = F.regexp_replace(bare, r"\A([^/?]+)(?=\?|\z)", "$1/")
     indexed = F.regexp_replace(with_root, r"\A([^?]*/)(?=\?)", "$1index.html")
     indexed = F.regexp_replace(indexed, r"/\z", "/index")

@@ -26,7 +26,8 @@ def scheme(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return part(url, AUTHORITY)
+    """Host, with port if any; in lower case, as case does not tell hosts apart."""
+    return F.lower(part(url, AUTHORITY))
 
 
 def path(url: Column) -> Column:

@@ -1,13 +1,23 @@
-"""Several pages on one document path: the page with the greatest id wins."""
+"""Several rows on one document path: one wins, by an order that has no ties but repeated rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["bundle", "doc_path"]
 
 
+def rank_mark(docs: DataFrame, *first: str) -> Column:
+    """Rank of a row on its path: ``first``, then page id, fetch time and a digest of the body."""
+    parts = [F.col(c) for c in (*first, "page_id")]
+    if "fetched_at" in docs.columns:
+        parts.append(F.col("fetched_at"))
+    if "body" in docs.columns:
+        parts.append(F.md5("body").alias("digest"))
+    return F.struct(*parts)
+
+
 def path_winners(docs: DataFrame) -> DataFrame:
     """``winner_page_id`` and row count per path.
 
@@ -19,31 +29,44 @@ def path_winners(docs: DataFrame) -> DataFrame:
     )
 
 
-def losing_pages(docs: DataFrame) -> DataFrame:
-    """Ids of the pages that lost their path, with the path and its winner."""
-    contested = path_winners(docs).where("n > 1").drop("n")
+def contested_paths(docs: DataFrame, *first: str) -> DataFrame:
+    """Paths with several rows, and the rank mark of the winner."""
     return (
-        docs.select(*KEY, "page_id")
-        .join(contested, KEY)
-        .where(F.col("page_id") < F.col("winner_page_id"))
+        docs.withColumn("_mark", rank_mark(docs, *first))
+        .groupBy(*KEY)
+        .agg(F.max("_mark").alias("winner"), F.count("*").alias("n"))
+        .where("n > 1")
     )
 
 
-def keep_winners(docs: DataFrame, losers: DataFrame | None = None) -> DataFrame:
-    """Documents whose page won its path.
+def keep_winners(docs: DataFrame, contested: DataFrame | None = None, first: tuple[str, ...] = ()) -> DataFrame:
+    """One row per path.
 
-    Document rows meet only the ids of losing pages, by page id, so bodies
-    never gather on a contested path. With ``losers`` read from a written
-    table Spark knows how few they are and leaves the documents in place.
+    Rows on uncontested paths stay where they are. Others meet the winner's mark,
+    one row per path, so a path with very many rows is split and only its winner
+    moves on. Of repeated rows one stays.
     """
-    losers = losing_pages(docs) if losers is None else losers
-    return docs.join(losers.select("page_id"), "page_id", "left_anti").select(*docs.columns)
+    contested = contested_paths(docs, *first) if contested is None else contested
+    alone = docs.join(contested.select(*KEY), KEY, "left_anti")
+    winners = (
+        docs.withColumn("_mark", rank_mark(docs, *first))
+        .join(contested.select(*KEY, "winner"), KEY)
+        .where(F.col("_mark").eqNullSafe(F.col("winner")))
+        .dropDuplicates(KEY)
+    )
+    return alone.select(*docs.columns).unionByName(winners.select(*docs.columns))
 
 
-def collision_rejects(losers: DataFrame) -> DataFrame:
-    return losers.select(
+def collision_rejects(docs: DataFrame, contested: DataFrame) -> DataFrame:
+    """Rows that lost their path to another one."""
+    lost = (
+        docs.withColumn("_mark", rank_mark(docs))
+        .join(contested.select(*KEY, "winner"), KEY)
+        .where(~F.col("_mark").eqNullSafe(F.col("winner")))
+    )
+    return lost.select(
         F.lit("collision").alias("stage"),
         "page_id",
         "doc_path",
-        F.concat(F.lit("path taken by page "), F.col("winner_page_id").cast("string")).alias("reason"),
+        F.concat(F.lit("path taken by page "), F.col("winner.page_id").cast("string")).alias("reason"),
     )

@@ -23,15 +23,19 @@ def parse_lines(log: DataFrame) -> DataFrame:
     )
 
 
-def saved_urls(log: DataFrame, carried: DataFrame | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+def saved_urls(log: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
+    """Saved lines of raw log lines with the URL they belong to."""
+    return saved_urls_of(parse_lines(log), block_lines)
+
+
+def saved_urls_of(parsed: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Saved lines with the URL they belong to: the latest URL line before them.
 
-    A saved line before any URL line belongs to ``''``, or to the run's URL in
-    ``carried(run_id, carried_url)``. The search runs inside blocks of each
-    run, and one row per block carries the last URL on to later blocks, so a
-    very long run is spread over many tasks.
+    A saved line before any URL line belongs to ``''``. The search runs inside
+    blocks of each run, and one row per block carries the last URL on to later
+    blocks, so a very long run is spread over many tasks.
     """
-    lines = parse_lines(log).withColumn("block", F.floor(F.col("seq") / block_lines))
+    lines = parsed.withColumn("block", F.floor(F.col("seq") / block_lines))
     in_block = (
         Window.partitionBy("run_id", "block")
         .orderBy("seq")
@@ -50,12 +54,8 @@ def saved_urls(log: DataFrame, carried: DataFrame | None = None, block_lines: in
         .where("saved")
         .join(block_starts, ["run_id", "block"], "left")
     )
-    fallback: Column = F.lit("")
-    if carried is not None:
-        out = out.join(carried, "run_id", "left")
-        fallback = F.coalesce("carried_url", F.lit(""))
     return out.select(
-        "run_id", "seq", "ts", F.coalesce("own_url", "start_url", fallback).alias("url")
+        "run_id", "seq", "ts", F.coalesce("own_url", "start_url", F.lit("")).alias("url")
     )
 
 

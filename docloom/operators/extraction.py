@@ -13,48 +13,56 @@ from pyspark.sql import types as T
 from docloom import schema
 from docloom.functions import frontmatter, links, paths, text, urls
 from docloom.operators import page_markdown as pm
-from docloom.session import ship_package, spread_small_input
+from docloom.session import save_and_reload, ship_package, spread_small_input
 
 PARSED = ["title", "container", "markdown", "warning", "error"]
 
 NO_CONTENT = "no content container"
 
 
-def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: dict[str, list] = {name: [] for name in PARSED}
-        for html in batch.column("html"):
-            title = container = markdown = warning = error = None
-            try:
-                tree = pm.parse(html.as_py())
-                title, warning = pm.page_title(tree)
-                found = pm.content_container(tree)
-                if found is None:
-                    error = NO_CONTENT
-                else:
-                    container = found.name
-                    markdown = pm.to_markdown(found)
-            except Exception as failure:  # one bad page never stops the batch
-                error = f"{type(failure).__name__}: {failure}"
-            for name, value in zip(PARSED, (title, container, markdown, warning, error)):
-                rows[name].append(value)
-        kept = [name for name in batch.schema.names if name != "html"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(name) for name in kept] + [pa.array(rows[k], pa.string()) for k in rows],
-            names=[*kept, *rows],
-        )
-
-
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """Every page with title, container and Markdown, or with an error.
-
-    A ``fetched_at`` column of the pages is kept.
+def _parse_batches(wanted: list[str]):
+    """Parse pages; only what the ``wanted`` fields need is worked out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict[str, list] = {name: [] for name in wanted}
+            for html in batch.column("html"):
+                found: dict[str, str | None] = dict.fromkeys(PARSED)
+                try:
+                    tree = pm.parse(html.as_py())
+                    if "title" in wanted or "warning" in wanted:
+                        found["title"], found["warning"] = pm.page_title(tree)
+                    if {"container", "markdown", "error"} & set(wanted):
+                        container = pm.content_container(tree)
+                        if container is None:
+                            found["error"] = NO_CONTENT
+                        else:
+                            found["container"] = container.name
+                            if "markdown" in wanted:
+                                found["markdown"] = pm.to_markdown(container)
+                except Exception as failure:  # one bad page never stops the batch
+                    found["error"] = f"{type(failure).__name__}: {failure}"
+                for name in wanted:
+                    rows[name].append(found[name])
+            kept = [name for name in batch.schema.names if name != "html"]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(name) for name in kept] + [pa.array(rows[k], pa.string()) for k in wanted],
+                names=[*kept, *wanted],
+            )
+
+    return run
+
+
+def parse_pages(pages: DataFrame, fields: list[str] = PARSED) -> DataFrame:
+    """Every page with the named fields of its parse: title, container, Markdown, warning, error.
+
+    Columns ``fetched_at`` and ``rel_path`` of the pages are kept.
     """
     ship_package(pages.sparkSession)
-    kept = ["page_id", "url"] + [c for c in pages.columns if c == "fetched_at"]
+    kept = ["page_id", "url"] + [c for c in pages.columns if c in ("fetched_at", "rel_path")]
     slim = spread_small_input(pages.select(*kept, "html"), "page_id")
-    fields = [slim.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in PARSED]
-    return slim.mapInArrow(_parse_batches, T.StructType(fields))
+    shape = [slim.schema[c] for c in kept] + [T.StructField(c, T.StringType()) for c in fields]
+    return slim.mapInArrow(_parse_batches(list(fields)), T.StructType(shape))
 
 
 def with_document_fields(parsed: DataFrame, run_time: datetime) -> DataFrame:
@@ -66,10 +74,13 @@ def with_document_fields(parsed: DataFrame, run_time: datetime) -> DataFrame:
     if "fetched_at" in parsed.columns:
         stamp = F.coalesce(F.col("fetched_at").cast("timestamp"), stamp)
     rel = paths.relative_html_path(F.col("url"))
+    if "rel_path" in parsed.columns:
+        # A saved file's own path decides; its URL may not lead back to it.
+        rel = F.coalesce("rel_path", rel)
     source = paths.source_url(rel, urls.scheme(F.col("url")))
     return (
         parsed.withColumn("bundle", urls.host(F.col("url")))
-        .withColumn("doc_path", paths.document_path(F.col("url")))
+        .withColumn("doc_path", paths.sanitize(paths.markdown_path(rel)))
         .withColumn("source_url", source)
         .withColumn("fetched_at", stamp)
         .withColumn(
@@ -80,7 +91,7 @@ def with_document_fields(parsed: DataFrame, run_time: datetime) -> DataFrame:
             F.octet_length(
                 F.concat(
                     frontmatter.render(
-                        F.col("title"), F.col("source_url"), frontmatter.iso_utc(F.col("fetched_at"))
+                        F.coalesce("title", F.lit("")), F.col("source_url"), frontmatter.iso_utc(F.col("fetched_at"))
                     ),
                     F.col("body"),
                 )
@@ -89,6 +100,16 @@ def with_document_fields(parsed: DataFrame, run_time: datetime) -> DataFrame:
     )
 
 
+def extract(pages: DataFrame, run_time: datetime) -> tuple[DataFrame, DataFrame]:
+    """Documents and rejects of pages, before paths are settled.
+
+    Batch and stream share it. Pages are parsed once, into a written table.
+    """
+    valid = pages.where(urls.is_valid(F.col("url")))
+    extracted = save_and_reload(with_document_fields(parse_pages(valid), run_time), "extracted")
+    return converted(extracted), url_rejects(pages).unionByName(rejects(extracted))
+
+
 def converted(extracted: DataFrame) -> DataFrame:
     """Documents of the pages that converted and whose path stays in its bundle."""
     return extracted.where(

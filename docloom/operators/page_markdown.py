@@ -281,7 +281,7 @@ def _render(frame: _Frame, text: str) -> str:
     if name in ("td", "th"):
         cell = " ".join(text.split()).replace("|", r"\|")
         span = element.attrs.get("colspan", "")
-        return f" {cell} |" + " |" * (min(int(span), 1000) - 1 if span.isdigit() else 0)
+        return f" {cell} |" + " |" * (min(int(span), C.MAX_COLSPAN) - 1 if span.isdigit() else 0)
     if name == "tr":
         return _render_row(frame, text)
     if name == "table":

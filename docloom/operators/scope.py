@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import links, urls
 
-HREF_PATTERN = r'<a href="([^"]*)"'
+# An anchor tag up to the value of its href: any case, other attributes before it,
+# line breaks, and double, single or no quotes.
+ANCHOR = r"""(?is)<a\s[^>]*?(?<=[\s"'])href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+VALUE = r"""(?is)\A.*?(?<=[\s"'])href\s*=\s*["']?([^"']*)["']?\z"""
+# Entities that stand in links, the ampersand last.
+ENTITIES = [("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&")]
+
+
+def href_values(html: Column) -> Column:
+    """Values of all anchors' links in order, with entities decoded and outer blanks cut."""
+    def value(tag: Column) -> Column:
+        found = F.regexp_extract(tag, VALUE, 1)
+        for name, char in ENTITIES:
+            found = F.replace(found, F.lit(name), F.lit(char))
+        return F.trim(found)
+
+    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR), 0), value)
 
 
 def seeds_from_urls(start_urls: DataFrame) -> DataFrame:
@@ -24,7 +40,7 @@ def page_hrefs(pages: DataFrame) -> DataFrame:
         pages.select(
             "page_id",
             "url",
-            F.posexplode(F.regexp_extract_all("html", F.lit(HREF_PATTERN), 1)).alias("ord", "href"),
+            F.posexplode(href_values(F.col("html"))).alias("ord", "href"),
         )
         .withColumn("kind", links.kind(F.col("href")))
         .withColumn("resolved", links.absolute_href(F.col("url"), F.col("href")))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-KEY = ["bundle", "doc_path"]
+from docloom.operators.collisions import KEY, keep_winners
 
 
 def upsert(old: DataFrame, new: DataFrame, replace_bundles: bool = False) -> DataFrame:
@@ -20,17 +19,13 @@ def upsert(old: DataFrame, new: DataFrame, replace_bundles: bool = False) -> Dat
     return kept.select(*new.columns).unionByName(new)
 
 
-def newest(versions: DataFrame, order: str = "page_id") -> DataFrame:
-    """Current documents of an append-only collection: the greatest ``order`` per path.
+def newest(versions: DataFrame) -> DataFrame:
+    """Current documents of an append-only collection: the latest batch wins a path.
 
-    Equal ``order`` values keep the later batch. The winning pair is found by
-    an aggregate that combines before the shuffle; bodies join it by that pair.
+    Within a batch the greatest page id does, and of rows with one id the later
+    and then the greater one.
     """
-    ranked = versions.withColumn("_mark", F.struct(F.col(order), F.col("batch")))
-    best = ranked.groupBy(*KEY).agg(F.max("_mark").alias("_mark"))
-    return (
-        ranked.join(best, [*KEY, "_mark"], "left_semi").drop("_mark")
-    )
+    return keep_winners(versions, first=("batch",))
 
 
 def insert_missing(existing: DataFrame, candidates: DataFrame, key: str = "bundle") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom import schema
@@ -28,6 +28,7 @@ from docloom.operators import (
 from docloom.operators import frontmatter as frontmatter_ingest
 from docloom.operators import links as link_tables
 from docloom.operators import search as search_ops
+from docloom.plans.crawl import reachable
 from docloom.session import save_and_reload, spread_small_input, work_path
 from docloom.sources import documents as document_source
 from docloom.sources import logs
@@ -249,6 +250,39 @@ def path_collisions(spark, sf_dir):
     return collisions.path_winners(docs).select("doc_path", "winner_page_id", "n")
 
 
+@query
+def settled_paths(spark, sf_dir):
+    """Every page twice with one id, and next to a copy on a contested path."""
+    copies = F.array(
+        F.struct((F.col("page_id") * 2).alias("page_id"), F.col("url").alias("url")),
+        F.struct((F.col("page_id") * 2).alias("page_id"), F.col("url").alias("url")),
+        F.struct(
+            (F.col("page_id") * 2 + 1).alias("page_id"),
+            F.regexp_replace("url", "[?&=]", "@").alias("url"),
+        ),
+    )
+    docs = table(spark, sf_dir, "pages").select(F.inline(copies)).select(
+        urls.host(F.col("url")).alias("bundle"), paths.document_path(F.col("url")).alias("doc_path"), "page_id"
+    )
+    return collisions.keep_winners(docs)
+
+
+@query
+def saved_file_paths(spark, sf_dir):
+    """Paths of saved files whose names hold signs that a URL would not give back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", paths.relative_html_path(F.col("url")).alias("rel_path"))
+    stem = F.regexp_replace("rel_path", r"\.html\z", "")
+    names = F.array(
+        F.col("rel_path"), F.concat(stem, F.lit("#b.html")), F.concat(F.lit("_modules/"), stem, F.lit("/_x.html"))
+    )
+    return pages.select("page_id", F.explode(names).alias("rel_path")).select(
+        "page_id",
+        "rel_path",
+        paths.sanitize(paths.markdown_path(F.col("rel_path"))).alias("doc_path"),
+        paths.source_url(F.col("rel_path"), F.lit("https")).alias("source_url"),
+    )
+
+
 @query
 def index_pages(spark, sf_dir):
     docs = table(spark, sf_dir, "pages").select(
@@ -268,13 +302,13 @@ def _extracted(spark, sf_dir):
 
 @query
 def page_titles(spark, sf_dir):
-    return extraction.parse_pages(table(spark, sf_dir, "pages")).select("page_id", "title")
+    return extraction.parse_pages(table(spark, sf_dir, "pages"), ["title"]).select("page_id", "title")
 
 
 @query
 def container_kinds(spark, sf_dir):
     return (
-        extraction.parse_pages(table(spark, sf_dir, "pages"))
+        extraction.parse_pages(table(spark, sf_dir, "pages"), ["container"])
         .groupBy("container")
         .agg(F.count("*").alias("n_pages"))
     )
@@ -376,6 +410,51 @@ def normalize_links(spark, sf_dir):
     return link_tables.normalize_links(linked_prose(spark, sf_dir)).select("doc_id", "body")
 
 
+@query
+def href_spellings(spark, sf_dir):
+    """Every link of every page in seven spellings of its anchor."""
+    links = scope.page_hrefs(table(spark, sf_dir, "pages")).select("page_id", "ord", "href")
+    quoted = F.replace("href", F.lit("&"), F.lit("&amp;"))
+    tags = [
+        F.concat(F.lit('<a href="'), quoted, F.lit('">')),
+        F.concat(F.lit("<a href='"), quoted, F.lit("'>")),
+        F.concat(F.lit("<a href="), quoted, F.lit(">")),
+        F.concat(F.lit('<a class="x" data-href="no" href="'), quoted, F.lit('" id=y>')),
+        F.concat(F.lit('<A HREF="'), quoted, F.lit('">')),
+        F.concat(F.lit('<a\n  rel=next\n  href = "'), quoted, F.lit('"\n>')),
+        F.concat(F.lit('<a title="a b" Href=\' '), quoted, F.lit(" '>")),
+    ]
+    pages = links.select(
+        (F.col("page_id") * 1000 + F.col("ord")).alias("page_id"),
+        F.lit("https://base.example/").alias("url"),
+        F.concat_ws("x</a> <abbr href=no>", *tags).alias("html"),
+    )
+    return scope.page_hrefs(pages).select("page_id", F.col("ord").cast("long").alias("ord"), "href")
+
+
+@query
+def crawl_reachable(spark, sf_dir):
+    """What a crawl reaches: links to the next pages, off the host, above the start, and to files."""
+    pages = table(spark, sf_dir, "pages")
+    host = urls.host(F.col("url"))
+    in_host = Window.partitionBy(host).orderBy("page_id")
+    base = F.concat(F.lit("https://"), host)
+    links = F.concat(
+        F.lit("<a href='"), base, F.lit("/s/p"), F.col("n").cast("string"), F.lit("'>next</a><a href=../up>up</a>"),
+        F.lit('<a class=x href="https://other.example/s/q">off</a><A HREF="file.pdf">file</A>'),
+    )
+    chain = (
+        pages.withColumn("n", F.row_number().over(in_host))
+        .select(
+            "page_id",
+            F.concat(base, F.lit("/s/p"), (F.col("n") - 1).cast("string")).alias("url"),
+            links.alias("html"),
+        )
+    )
+    starts = pages.select(F.concat(base, F.lit("/s/p0")).alias("url")).distinct()
+    return reachable(chain, starts)
+
+
 @query
 def link_targets(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
@@ -615,18 +694,32 @@ def stream_dedup(spark, sf_dir):
 
 @query
 def stream_ingest_docs(spark, sf_dir):
+    """Pages in three deliveries, each next to copies with bad URLs and on contested paths."""
+    pages = table(spark, sf_dir, "pages")
+    bad = pages.withColumn("url", F.regexp_replace("url", "^https?", "ftp"))
+    copies = pages.withColumn("url", F.regexp_replace("url", "[?&=]", "@"))
+    rows = pages.unionByName(copies).unionByName(bad)
+    source = work_path(spark, "page-files")
+    for part in range(3):
+        rows.where(F.col("page_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
     log_path = work_path(spark, "ingest")
-    pages = ingest.stream_pages(spark, sf_dir, "pages.parquet")
-    ingest.start_ingest(pages, log_path, work_path(spark, "ingest-log"), FETCHED_AT).awaitTermination()
-    return IngestLog(spark, log_path).current().select("doc_path", "page_id")
+    stream = ingest.stream_pages(spark, source, files_per_batch=1)
+    ingest.start_ingest(stream, log_path, work_path(spark, "ingest-log"), FETCHED_AT).awaitTermination()
+    log = IngestLog(spark, log_path)
+    current = log.current().select("doc_path", "page_id", F.lit("current").alias("state"))
+    return current.unionByName(log.rejects().select(
+        F.lit(None).cast("string").alias("doc_path"), "page_id", F.concat_ws(": ", "stage", "reason").alias("state")
+    ))
 
 
 @query
 def stream_crawl_progress(spark, sf_dir):
-    """The derived log, written as files and followed as a stream."""
+    """The derived log as files that arrive out of order, followed as a stream."""
     source = work_path(spark, "log-lines")
-    derived_log(spark, sf_dir).write.json(source)
+    lines = derived_log(spark, sf_dir)
+    for part in (2, 0, 3, 1):
+        lines.where(F.pmod("seq", F.lit(4)) == part).coalesce(1).write.mode("append").json(source)
     follower = ProgressStream(spark, work_path(spark, "progress"))
-    run = follower.start(logs.stream_log(spark, source), work_path(spark, "progress-log"))
+    run = follower.start(logs.stream_log(spark, source, files_per_batch=1), work_path(spark, "progress-log"))
     run.awaitTermination()
     return follower.report(run.lastProgress["batchId"]).withColumn("rate", F.round("rate", 6))

@@ -5,9 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docloom.functions import urls
 from docloom.operators import bundles, collisions, extraction
 from docloom.session import save_and_reload
 from docloom.sources.collection import Collection, export_bundles
@@ -19,18 +17,12 @@ def convert(pages: DataFrame, fetched_at: datetime) -> tuple[DataFrame, DataFram
     Pages are parsed once into a written table. Documents, contested paths and
     rejects are read from it.
     """
-    valid = pages.where(urls.is_valid(F.col("url")))
-    extracted = save_and_reload(
-        extraction.with_document_fields(extraction.parse_pages(valid), fetched_at), "extracted"
+    docs, rejected = extraction.extract(pages, fetched_at)
+    contested = save_and_reload(collisions.contested_paths(docs), "contested")
+    return (
+        collisions.keep_winners(docs, contested),
+        rejected.unionByName(collisions.collision_rejects(docs, contested)),
     )
-    docs = extraction.converted(extracted)
-    losers = save_and_reload(collisions.losing_pages(docs), "losers")
-    rejected = (
-        extraction.url_rejects(pages)
-        .unionByName(extraction.rejects(extracted))
-        .unionByName(collisions.collision_rejects(losers))
-    )
-    return collisions.keep_winners(docs, losers), rejected
 
 
 def build(
@@ -42,12 +34,13 @@ def build(
 ) -> tuple[DataFrame, DataFrame]:
     """Convert pages, merge them into the collection, and report on the bundles.
 
-    Returns the report and the rejects. A bundle that fails validation is
+    Only bundles with new documents are exported. Returns the report and the rejects. A bundle that fails validation is
     exported all the same.
     """
     docs, rejected = convert(pages, fetched_at)
     collection.upsert(docs, replace_bundles)
     current = collection.read()
     if export_path is not None:
-        export_bundles(current, export_path)
+        touched = docs.select("bundle").distinct()
+        export_bundles(current.join(touched, "bundle", "left_semi"), export_path)
     return bundles.report(current, bundles.manifest(current)), rejected

@@ -177,6 +177,16 @@ ORACLES["doc_paths"] = f"WITH {PAGE_PARTS} SELECT page_id, doc_path FROM located
 ORACLES["path_collisions"] = f"WITH {PAGE_PARTS}" + r"""
 SELECT doc_path, max(page_id) * 2 + 1 AS winner_page_id, count(*) * 2 AS n FROM located GROUP BY doc_path"""
 
+ORACLES["settled_paths"] = f"WITH {PAGE_PARTS}" + r"""
+SELECT host AS bundle, doc_path, max(page_id) * 2 + 1 AS page_id FROM located GROUP BY ALL"""
+
+ORACLES["saved_file_paths"] = f"WITH {PAGE_PARTS}" + r"""
+, n AS (SELECT page_id, unnest([rel_path, stem || '#b.html', '_modules/' || stem || '/_x.html']) AS rel_path
+        FROM (SELECT *, rel_path[:-6] AS stem FROM rel))
+SELECT page_id, rel_path, regexp_replace(rel_path[:-6] || '.md', '[^a-zA-Z0-9._/-]', '_', 'g') AS doc_path,
+       'https://' || rel_path[:-6] AS source_url
+FROM n"""
+
 ORACLES["index_pages"] = f"WITH {PAGE_PARTS}" + r"""
 SELECT host AS bundle, count(*) FILTER (ends_with(doc_path, 'index.md')) AS n_index FROM located GROUP BY host"""
 
@@ -286,6 +296,17 @@ SELECT doc_id,
                '](d/./e/../f.html', '](' || root || '/d/f.html') AS body
 FROM based"""
 
+ORACLES["href_spellings"] = r"""
+WITH h AS (SELECT page_id, string_split(html, '<a href="') AS bits FROM pages),
+l AS (SELECT page_id, k - 2 AS n, string_split(bits[k], '"')[1] AS href
+      FROM h, LATERAL (SELECT unnest(generate_series(2, len(bits))) AS k) g)
+SELECT page_id * 1000 + n AS page_id, unnest(generate_series(0, 6)) AS ord, replace(href, '&amp;', '&') AS href FROM l"""
+
+ORACLES["crawl_reachable"] = f"WITH {PAGE_PARTS}," + r"""
+sites AS (SELECT host, count(*) AS n FROM parts GROUP BY host)
+SELECT 'https://' || host || '/s/p' || d AS url, CAST(d AS INTEGER) AS depth
+FROM sites, LATERAL (SELECT unnest(generate_series(0, least(n, 5))) AS d) g"""
+
 ORACLES["link_targets"] = f"WITH {HREFS}," + r"""
 targets AS (
   SELECT resolved FROM hrefs
@@ -449,4 +470,6 @@ SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, count(*) / 1.0::DO
 ORACLES["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
 
 ORACLES["stream_ingest_docs"] = f"WITH {PAGE_PARTS}" + r"""
-SELECT doc_path, max(page_id) AS page_id FROM located GROUP BY host, doc_path"""
+SELECT doc_path, arg_max(page_id, (page_id % 3) * 1000000000 + page_id) AS page_id, 'current' AS state
+FROM located GROUP BY host, doc_path
+UNION ALL SELECT NULL, page_id, 'url: invalid scheme' FROM pages"""

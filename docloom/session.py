@@ -17,6 +17,7 @@ DEFAULT_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # Rows carry whole pages, so batches sent to Python stay small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     # Keyed stream state lives on disk and is checkpointed as change logs.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -24,6 +25,8 @@ DEFAULT_SETTINGS = {
 
 # Largest side that is ever broadcast on purpose.
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
+# Largest input that is ever shuffled only to use all cores, whatever their number.
+SPREAD_LIMIT_BYTES = 256 * 1024 * 1024
 
 
 def build_session(app: str = "docloom", master: str | None = None, **settings) -> SparkSession:
@@ -122,6 +125,6 @@ def spread_small_input(df: DataFrame, *keys: str) -> DataFrame:
     slots = spark.sparkContext.defaultParallelism
     split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= slots * split // 4:
+    if size >= min(slots * split // 4, SPREAD_LIMIT_BYTES):
         return df
     return df.repartition(slots, *keys)

@@ -7,6 +7,8 @@ readers are safe while the next one is written.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,9 +28,12 @@ class Collection:
         commits = f"{self.root}/commits"
         if not _exists(self.spark, commits):
             return 0
-        last = self.spark.read.schema(COMMITS).parquet(commits).agg(F.max("version")).first()[0]
+        last = self._commits().agg(F.max("version")).first()[0]
         return last or 0
 
+    def _commits(self) -> DataFrame:
+        return self.spark.read.schema(COMMITS).option("recursiveFileLookup", True).parquet(f"{self.root}/commits")
+
     def _location(self, version: int) -> str:
         return f"{self.root}/snapshot={version}"
 
@@ -36,7 +41,8 @@ class Collection:
         version = self.version()
         if version == 0:
             return self.spark.createDataFrame([], self.columns)
-        return self.spark.read.schema(self.columns).parquet(self._location(version))
+        location = self._commits().where(F.col("version") == version).first()["location"]
+        return self.spark.read.schema(self.columns).parquet(location)
 
     def commit(self, docs: DataFrame) -> int:
         """Write a complete snapshot and make it current.
@@ -45,19 +51,17 @@ class Collection:
         the size of a bundle, and a reader of one bundle skips the others.
         """
         version = self.version() + 1
-        location = self._location(version)
+        # A folder of its own: a writer that loses a race harms no snapshot.
+        location = f"{self._location(version)}-{uuid.uuid4().hex}"
         (
             docs.select(*self.columns.fieldNames())
             .repartitionByRange("bundle", "doc_path")
             .sortWithinPartitions("bundle", "doc_path")
-            .write.mode("overwrite")
-            .parquet(location)
+            .write.parquet(location)
         )
-        (
-            self.spark.createDataFrame([(version, location)], COMMITS)
-            .coalesce(1)
-            .write.mode("append")
-            .parquet(f"{self.root}/commits")
+        # The folder of a version can be made once: a second writer fails here.
+        self.spark.createDataFrame([(version, location)], COMMITS).coalesce(1).write.mode("error").parquet(
+            f"{self.root}/commits/{version}"
         )
         return version
 
@@ -88,6 +92,17 @@ class IngestLog:
             return self.spark.createDataFrame([], with_batch)
         return self.spark.read.schema(with_batch).option("basePath", self.root).parquet(self.root)
 
+    def append_rejects(self, rejected: DataFrame, batch: int) -> None:
+        rejected.select(*schema.REJECTS.fieldNames()).write.mode("overwrite").parquet(
+            f"{self.root}-rejects/batch={batch}"
+        )
+
+    def rejects(self) -> DataFrame:
+        """Pages of all batches that gave no document, with the reason."""
+        if not _exists(self.spark, f"{self.root}-rejects"):
+            return self.spark.createDataFrame([], schema.REJECTS)
+        return self.spark.read.schema(schema.REJECTS).parquet(f"{self.root}-rejects")
+
     def current(self) -> DataFrame:
         return newest(self.versions()).select(*self.columns.fieldNames())
 

@@ -22,16 +22,17 @@ def stream_pages(spark: SparkSession, folder: str, pattern: str = "*.parquet", f
 def start_ingest(
     pages: DataFrame, log_path: str, checkpoint: str, fetched_at: datetime
 ) -> StreamingQuery:
-    """Convert arriving pages and append them to an ``IngestLog``.
+    """Convert arriving pages and append documents and rejects to an ``IngestLog``.
 
-    The batch number names the folder, so a batch that runs again after a
+    Pages go through the same steps as in a batch job. The batch number names the folder, so a batch that runs again after a
     failure replaces its own output.
     """
     log = IngestLog(pages.sparkSession, log_path)
 
     def write(batch: DataFrame, number: int) -> None:
-        extracted = extraction.with_document_fields(extraction.parse_pages(batch), fetched_at)
-        log.append(extraction.converted(extracted), number)
+        docs, rejected = extraction.extract(batch, fetched_at)
+        log.append(docs, number)
+        log.append_rejects(rejected, number)
 
     return (
         pages.writeStream.foreachBatch(write)

@@ -7,67 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.operators import crawl_log
-from docloom.sources.pages import _exists
 
-SAVED = "run_id string, seq long, ts timestamp, url string, batch long"
-STATE = "run_id string, carried_url string, first_ts timestamp, last_ts timestamp"
+FACTS = "run_id string, seq long, ts timestamp, url string, saved boolean, batch long"
+TIMES = "run_id string, first_ts timestamp, last_ts timestamp, batch long"
 
 
 class ProgressStream:
     """Follows many runs at once.
 
-    What a run needs between batches is one row: its current URL and its first
-    and last time. Batch ``n`` reads the rows written by batch ``n - 1`` and
-    writes its own, so a repeated batch gives the same result. Inside a batch
-    lines are ordered by ``seq``; a late line joins the run's current URL. A
-    long run is carried forward in blocks and not by one task.
+    Each batch appends the few lines that matter, with their place in the run,
+    and the times it saw. A report works these out as a batch job would, so late
+    files and any cut into batches give the same rows. The batch number names
+    the folders, and a repeated batch replaces its own.
     """
 
     def __init__(self, spark: SparkSession, root: str, block_lines: int = crawl_log.BLOCK_LINES):
         self.spark, self.root, self.block_lines = spark, root.rstrip("/"), block_lines
 
-    def _state(self, batch: int) -> DataFrame:
-        path = f"{self.root}/state/batch={batch}"
-        if batch < 0 or not _exists(self.spark, path):
-            return self.spark.createDataFrame([], STATE)
-        return self.spark.read.schema(STATE).parquet(path)
-
-    def _advance(self, lines: DataFrame, batch: int) -> None:
-        lines.persist()
-        before = self._state(batch - 1)
-        saved = crawl_log.saved_urls(
-            lines, before.select("run_id", "carried_url"), self.block_lines
-        )
-        saved.write.mode("overwrite").parquet(f"{self.root}/saved/batch={batch}")
-
-        parsed = crawl_log.parse_lines(lines)
-        seen = parsed.groupBy("run_id").agg(
-            F.max_by(F.col("url"), F.when(F.col("url").isNotNull(), F.col("seq"))).alias("new_url"),
-            F.min("ts").alias("new_first"),
-            F.max("ts").alias("new_last"),
-        )
-        after = before.join(seen, "run_id", "full_outer").select(
-            "run_id",
-            F.coalesce("new_url", "carried_url").alias("carried_url"),
-            F.least("first_ts", "new_first").alias("first_ts"),
-            F.greatest("last_ts", "new_last").alias("last_ts"),
-        )
-        after.write.mode("overwrite").parquet(f"{self.root}/state/batch={batch}")
-        lines.unpersist()
+    def _append(self, lines: DataFrame, batch: int) -> None:
+        parsed = crawl_log.parse_lines(lines).where("url is not null or saved")
+        parsed.write.mode("overwrite").parquet(f"{self.root}/facts/batch={batch}")
+        crawl_log.run_times(lines).write.mode("overwrite").parquet(f"{self.root}/times/batch={batch}")
 
     def start(self, lines: DataFrame, checkpoint: str) -> StreamingQuery:
         return (
-            lines.writeStream.foreachBatch(self._advance)
+            lines.writeStream.foreachBatch(self._append)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
 
+    def _read(self, kind: str, fields: str, last_batch: int) -> DataFrame:
+        path = f"{self.root}/{kind}"
+        rows = self.spark.read.schema(fields).option("basePath", path).parquet(path)
+        return rows.where(F.col("batch") <= last_batch)
+
     def report(self, last_batch: int) -> DataFrame:
         """Progress per run up to and including a batch."""
-        saved = (
-            self.spark.read.schema(SAVED).option("basePath", f"{self.root}/saved")
-            .parquet(f"{self.root}/saved")
-            .where(F.col("batch") <= last_batch)
+        facts = self._read("facts", FACTS, last_batch)
+        times = self._read("times", TIMES, last_batch).groupBy("run_id").agg(
+            F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
         )
-        return crawl_log.summarize(saved, self._state(last_batch))
+        return crawl_log.summarize(crawl_log.saved_urls_of(facts, self.block_lines), times)

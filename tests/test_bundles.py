@@ -1,7 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from docloom import schema
-from docloom.operators import bundles, upsert
+from docloom.operators import bundles, collisions, upsert
 from docloom.sources.collection import Collection, IngestLog, export_bundles
 
 SIZED = "bundle string, doc_path string, md_bytes long"
@@ -89,7 +90,7 @@ def test_upsert_store(spark, tmp_path):
 def test_uncommitted_snapshot_is_ignored(spark, tmp_path):
     store = Collection(spark, str(tmp_path / "c"))
     store.upsert(spark.createDataFrame([document("a", 1, "x")], schema.DOCS))
-    spark.createDataFrame([document("z", 9, "half")], schema.DOCS).write.parquet(store._location(2))
+    spark.createDataFrame([document("z", 9, "half")], schema.DOCS).write.parquet(f"{store._location(2)}-x")
     assert [r.doc_path for r in store.read().collect()] == ["a"]
     store.upsert(spark.createDataFrame([document("b", 2, "y")], schema.DOCS))
     assert {r.doc_path for r in store.read().collect()} == {"a", "b"}
@@ -102,7 +103,22 @@ def test_ingest_log_replay(spark, tmp_path):
     log.append(first, 0)
     log.append(second, 1)
     log.append(second, 1)
-    assert {r.doc_path: r.body for r in log.current().collect()} == {"a": "v5", "b": "again"}
+    assert {r.doc_path: r.body for r in log.current().collect()} == {"a": "late", "b": "again"}
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    one, other = (Collection(spark, str(tmp_path / "c")) for _ in range(2))
+    one.upsert(spark.createDataFrame([document("a", 1, "x")], schema.DOCS))
+    other.version = lambda: 0
+    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+        other.commit(spark.createDataFrame([document("a", 2, "lost")], schema.DOCS))
+    assert [r.body for r in one.read().collect()] == ["x"]
+
+
+def test_repeated_ids_settle_on_one_row(spark):
+    rows = [document("a", 1, "old"), document("a", 1, "same"), document("a", 1, "same"), document("b", 2, "x")]
+    kept = collisions.keep_winners(spark.createDataFrame(rows, schema.DOCS)).collect()
+    assert sorted((r.doc_path, r.page_id) for r in kept) == [("a", 1), ("b", 2)]
 
 
 def test_export_replaces_only_its_bundles(spark, tmp_path):

@@ -50,6 +50,16 @@ def test_page_hrefs(spark):
     ]
 
 
+def test_hrefs_in_all_spellings(spark):
+    html = (
+        "<a href='/1'>a</a><a href=/2>b</a><A HREF=\"/3\">c</A><a class=\"q\" data-href=\"/no\" href=\"/4?x=1&amp;y=2\">d</a>"
+        "<a\n\ttitle='t'\n\thref = \"/5\"\n>e</a><abbr href=/no><a name=x>f</a><area href=/no>"
+    )
+    pages = spark.createDataFrame([(1, "https://H.example/a", html)], schema.PAGES)
+    assert [r.href for r in scope.page_hrefs(pages).orderBy("ord").collect()] == ["/1", "/2", "/3", "/4?x=1&y=2", "/5"]
+    assert scope.seeds_from_urls(spark.createDataFrame([("https://DOCS.h.com/a/b",)], "url string")).first().seed_host == "docs.h.com"
+
+
 def test_internal_links(spark):
     pages = spark.createDataFrame([(1, "https://h/a", ""), (2, "https://h/b/index.html", "")], schema.PAGES)
     found = spark.createDataFrame(

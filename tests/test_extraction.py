@@ -133,6 +133,22 @@ def test_saved_site_becomes_a_bundle(spark, tmp_path):
     assert len(again) == 10 and again["kb.example.net/index.md"] == "New"
 
 
+def test_whole_tree_is_read(spark, tmp_path):
+    """Names with an underscore, signs that need care in URLs, and a host in mixed case."""
+    names = ["_modules/core", "guide/_intro", "guide/a#b", "guide/a", "guide/b c", "_static/_x/_y"]
+    for name in names:
+        file = tmp_path / "crawl" / "Docs.Example.org" / f"{name}.html"
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_text(f"<title>{name}</title><main>{name}</main>")
+    (tmp_path / "crawl" / "Docs.Example.org" / ".hidden.html").write_text("<main>no</main>")
+    pages = read_html_tree(spark, str(tmp_path / "crawl"))
+    docs, rejects = convert(pages, STAMP)
+    assert {r.doc_path: r.title for r in docs.collect()} == {
+        f"Docs.Example.org/{name.replace('#', '_').replace(' ', '_')}.md": name for name in names
+    }
+    assert {r.bundle for r in docs.collect()} == {"docs.example.org"} and rejects.count() == 0
+
+
 def test_missing_folder_is_empty(spark, tmp_path):
     assert read_html_tree(spark, str(tmp_path / "nothing")).count() == 0
 
