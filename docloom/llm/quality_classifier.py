@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import column, fold, fresh, words
 from docloom.llm.training import SAMPLE_ROWS, labelled_sample, logistic
+from docloom.session import save_and_reload
 
 # Weight of a site's posterior in a document's log-odds, and the score from which a document is kept.
 SITE_WEIGHT = 0.5
@@ -36,7 +37,8 @@ LEAST_WEIGHT, MOST_WEIGHT = 5.0, 10_000.0
 def features(text: Column) -> Column:
     """Shares that tell prose from junk, as an array."""
     body = F.coalesce(text, F.lit(""))
-    count = lambda pattern: F.regexp_count(body, F.lit(pattern)).cast("double")
+    # Characters of a class, by what is left without them: no array of matches is built.
+    count = lambda kind: (F.length(body) - F.length(F.regexp_replace(body, f"{kind}+", ""))).cast("double")
     per = lambda a, b: a / (b + 1.0)
     chars, letters = F.length(body).cast("double"), count(r"\p{L}")
     tokens = words(text)
@@ -46,12 +48,12 @@ def features(text: Column) -> Column:
         per(letters, chars),
         per(count(r"\p{Lu}"), letters),
         F.least(per(count(r"[#$%&*<>]"), n_words), F.lit(3.0)),
-        F.least(per(count(r"\|"), n_words), F.lit(1.0)),
-        F.least(per(count(r"!"), n_words), F.lit(3.0)),
+        F.least(per(count("[|]"), n_words), F.lit(1.0)),
+        F.least(per(count("[!]"), n_words), F.lit(3.0)),
         per(count(r"[0-9]"), chars),
         F.least(per(chars - letters, n_words), F.lit(10.0)),
         per(F.size(F.array_distinct(tokens)).cast("double"), n_words),
-        F.least(per(count(r"[.!?](?=\s|$)"), n_words), F.lit(1.0)),
+        F.least(per(count(r"[.?]"), n_words), F.lit(1.0)),
     )
 
 
@@ -131,8 +133,6 @@ def site_posteriors(evidence: DataFrame) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, out: str) -> DataFrame:
     """``docs`` with a struct ``out``: p_document, host_posterior, path_posterior, score, kept."""
-    from docloom.session import save_and_reload
-
     model = fit(docs, labels)
     own, site = fresh(docs, "quality_log_odds", "quality_site")
     log_odds = model.log_odds(features(F.col("text")))
@@ -140,7 +140,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, out
     evidence = save_and_reload(
         docs.select(host.alias("host"), path.alias("path"), sigmoid(log_odds).alias("p")), "quality-evidence"
     )
-    sites = save_and_reload(site_posteriors(evidence), "quality-sites")
+    sites = site_posteriors(evidence)
     named = docs.withColumn(own, log_odds).withColumn(site, F.struct(host.alias("host"), path.alias("path")))
     side = sites.select(
         F.col("host").alias(f"{site}_host"), F.col("path").alias(f"{site}_path"),

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from docloom.llm.common import fold
 from docloom.llm.training import SAMPLE_ROWS, labelled_sample, logistic
-from docloom.session import ship_package
+from docloom.session import save_and_reload, ship_package
 
 TOKEN = re.compile(r"[^\W_]+")
 # Lengths of the word beginnings that are units of their own.
@@ -138,7 +138,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled rows outside of the held-out fold, about ``bound`` of them at most."""
     ship_package(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound)
+    sample = save_and_reload(
+        labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound), "toxicity-sample"
+    )
     n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     n_bad, n_good = map(float, n)
     if not n_bad or not n_good:
@@ -265,7 +267,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled rows outside of the held-out fold, about ``bound`` of them at most."""
     ship_package(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound)
+    sample = save_and_reload(
+        labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound), "toxicity-sample"
+    )
     n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
     n_bad, n_good = map(float, n)
     if not n_bad or not n_good:

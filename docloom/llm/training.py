@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.session import save_and_reload
-
 # Bound on the rows that a classifier is fitted on. Rows are drawn by a hash of
 # their id, so the bound holds but for the spread of a binomial draw.
 SAMPLE_ROWS = 20_000
@@ -32,13 +30,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, boun
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(
         F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("most")
     ).where("y = most").drop("most")
-    picked = save_and_reload(drawn(known, "doc_id", bound), "label-sample")
+    picked = drawn(known, "doc_id", bound)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = texts.join(F.broadcast(picked), "doc_id").drop("doc_id")
     alike = found.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("h")).agg(
         F.first("text").alias("text"), F.min("y").alias("y")
     )
-    return save_and_reload(alike.select("text", "y"), "training-sample")
+    return alike.select("text", "y")
 
 
 def logistic(features: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
