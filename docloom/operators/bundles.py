@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom import constants as C
 from docloom.functions import frontmatter
+from docloom.session import save_and_reload
 
 DESCRIPTOR_BLOCK = r"(?s)\A---\n(.*?)\n---"
 
@@ -96,8 +97,10 @@ def report(
 
     ``requested(bundle)`` adds bundles that should exist. ``descriptors`` needs
     ``bundle, name, description``; a ``descriptor`` text is checked if present.
-    A failed check is reported and never removes a bundle.
+    A failed check is reported and never removes a bundle. Path and size of the
+    documents are worked out once, into a narrow table that both parts read.
     """
+    docs = save_and_reload(docs.select("bundle", "doc_path", "md_bytes"), "report-sizes")
     known = descriptors.select(
         "bundle",
         "name",

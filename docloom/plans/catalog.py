@@ -635,6 +635,41 @@ def bundle_report(spark, sf_dir):
     )
 
 
+@query
+def bundle_validation(spark, sf_dir):
+    """For each source one bundle of every kind that the checks tell apart."""
+    n = F.col("n")
+    sources = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    kinds = ["good", "bare", "nomd", "nofm", "open", "noname", "big", "edge", "empty", "absent"]
+    every = sources.select("n", F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "source").withColumn(
+        "bundle", F.concat_ws("-", "source", "kind")
+    )
+    rest = (
+        F.when(F.col("kind") == "big", F.lit(8388609) - n).when(F.col("kind") == "edge", F.lit(8388608) - n).otherwise(1)
+    )
+    end = F.when(F.col("kind") == "nomd", ".txt").otherwise(".md")
+    docs = every.where("kind not in ('empty', 'absent')").select(
+        "bundle",
+        F.inline(F.array(
+            F.struct(F.concat(F.lit("a"), end).alias("doc_path"), n.alias("md_bytes")),
+            F.struct(F.concat(F.lit("b"), end).alias("doc_path"), rest.cast("long").alias("md_bytes")),
+        )),
+    )
+    head = F.concat(F.lit("---\nname: "), F.col("bundle"))
+    described = every.where("kind not in ('bare', 'absent')").select(
+        "bundle",
+        F.when(F.col("kind") != "noname", F.col("bundle")).alias("name"),
+        F.lit("d").alias("description"),
+        F.when(F.col("kind") == "nofm", "# x").when(F.col("kind") == "open", head)
+        .otherwise(F.concat(head, F.lit("\n---\n"))).alias("descriptor"),
+    )
+    return bundles.report(docs, described, every.select("bundle"), list_largest=False).select(
+        "bundle", F.col("n_files").cast("long").alias("n_files"), F.col("n_md").cast("long").alias("n_md"),
+        "total_bytes", "over_limit", "valid",
+        F.concat_ws("; ", "errors").alias("errors"), F.concat_ws("; ", "warnings").alias("warnings"),
+    )
+
+
 @query
 def largest_docs(spark, sf_dir):
     docs = sized_prose(spark, sf_dir)

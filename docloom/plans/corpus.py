@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from docloom.operators import bundles, collisions, extraction
 from docloom.session import save_and_reload
-from docloom.sources.collection import Collection, export_bundles
+from docloom.sources.collection import Collection, Descriptors, export_bundles, export_descriptors
 
 
 def convert(pages: DataFrame, fetched_at: datetime) -> tuple[DataFrame, DataFrame]:
@@ -34,13 +34,18 @@ def build(
 ) -> tuple[DataFrame, DataFrame]:
     """Convert pages, merge them into the collection, and report on the bundles.
 
-    Only bundles with new documents are exported. Returns the report and the rejects. A bundle that fails validation is
+    A bundle's descriptor is stored when the bundle is new and kept from then on;
+    the report checks the stored ones. Only bundles with new documents are
+    exported. Returns the report and the rejects. A bundle that fails validation is
     exported all the same.
     """
     docs, rejected = convert(pages, fetched_at)
     collection.upsert(docs, replace_bundles)
     current = collection.read()
+    described = Descriptors(collection.spark, f"{collection.root}/descriptors")
+    described.add_missing(bundles.descriptor_text(bundles.manifest(current)))
     if export_path is not None:
         touched = docs.select("bundle").distinct()
         export_bundles(current.join(touched, "bundle", "left_semi"), export_path)
-    return bundles.report(current, bundles.manifest(current)), rejected
+        export_descriptors(described.read(), f"{export_path}-descriptors")
+    return bundles.report(current, described.read()), rejected

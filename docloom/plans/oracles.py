@@ -411,6 +411,28 @@ SELECT bundle, count(*) AS n_files, count(*) FILTER (ends_with(doc_path, '.md'))
        first(doc_path ORDER BY md_bytes DESC, doc_path) AS largest
 FROM sized GROUP BY bundle"""
 
+ORACLES["bundle_validation"] = r"""
+WITH every AS (
+  SELECT source || '-' || kind AS bundle, kind, n
+  FROM (SELECT source, count(*) AS n FROM documents GROUP BY source),
+       (SELECT unnest(['good', 'bare', 'nomd', 'nofm', 'open', 'noname', 'big', 'edge', 'empty', 'absent']) AS kind)),
+stored AS (
+  SELECT bundle, kind NOT IN ('bare', 'absent') AS described, kind NOT IN ('empty', 'absent') AS filled,
+         CASE WHEN kind IN ('empty', 'absent') THEN 0 ELSE 2 END AS n_files,
+         CASE WHEN kind IN ('empty', 'absent', 'nomd') THEN 0 ELSE 2 END AS n_md,
+         CASE kind WHEN 'empty' THEN 0 WHEN 'absent' THEN 0 WHEN 'big' THEN 8388609 WHEN 'edge' THEN 8388608 ELSE n + 1 END AS total_bytes,
+         kind
+  FROM every)
+SELECT bundle, n_files, n_md, total_bytes, total_bytes > 8 * 1024 * 1024 AS over_limit, described AND filled AS valid,
+       CASE WHEN described AND filled THEN '' WHEN filled THEN 'descriptor not found'
+            WHEN described THEN 'documents not found' ELSE 'bundle not found' END AS errors,
+       concat_ws('; ', CASE WHEN kind = 'noname' THEN 'descriptor lacks name' END,
+                 CASE WHEN kind = 'nofm' THEN 'descriptor has no frontmatter' END,
+                 CASE WHEN kind = 'open' THEN 'descriptor frontmatter is incomplete' END,
+                 CASE WHEN filled AND n_md = 0 THEN 'no Markdown documents' END,
+                 CASE WHEN total_bytes > 8 * 1024 * 1024 THEN 'size limit exceeded' END) AS warnings
+FROM stored"""
+
 ORACLES["largest_docs"] = f"WITH {SIZED}" + r"""
 SELECT bundle, row_number() OVER (PARTITION BY bundle ORDER BY md_bytes DESC, doc_path) AS rank, doc_path,
        round(md_bytes / 1024.0::DOUBLE, 1) AS kb

@@ -69,6 +69,24 @@ class Collection:
         return self.commit(upsert(self.read(), new, replace_bundles))
 
 
+class Descriptors:
+    """Stored descriptors of bundles: written if absent, and kept otherwise."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def read(self) -> DataFrame:
+        if not _exists(self.spark, self.root):
+            return self.spark.createDataFrame([], schema.MANIFEST)
+        return self.spark.read.schema(schema.MANIFEST).parquet(self.root)
+
+    def add_missing(self, candidates: DataFrame) -> None:
+        """Append descriptors of bundles that have none yet; the known ones are left alone."""
+        names = schema.MANIFEST.fieldNames()
+        fresh = candidates.select(*names).join(self.read().select("bundle"), "bundle", "left_anti").select(*names)
+        fresh.coalesce(1).write.mode("append").parquet(self.root)
+
+
 class IngestLog:
     """Documents as they arrive: one folder per batch, merged when read.
 
@@ -122,6 +140,11 @@ def export_bundles(docs: DataFrame, path: str) -> None:
     )
 
 
+def export_descriptors(descriptors: DataFrame, path: str) -> None:
+    """The descriptors of exported bundles, next to their documents."""
+    descriptors.select("bundle", "descriptor").write.mode("overwrite").json(path)
+
+
 def write_results(results: DataFrame, path: str) -> None:
     """Search results as JSON lines."""
     results.write.mode("overwrite").json(path)

@@ -123,6 +123,8 @@ def test_saved_site_becomes_a_bundle(spark, tmp_path):
     assert bundles.index_pages(store.read()).first().n_index == 6
     assert rejects.count() == 0
     assert spark.read.parquet(str(tmp_path / "out")).where("bundle = 'kb.example.net'").count() == 10
+    exported = spark.read.json(str(tmp_path / "out-descriptors")).collect()
+    assert [r.bundle for r in exported] == ["kb.example.net"] and exported[0].descriptor.startswith("---\nname: kb")
     # A second delivery overwrites its path and keeps the others.
     newer = spark.createDataFrame(
         [(1, "https://kb.example.net/index.html", "<main>New</main>")], "page_id long, url string, html string"
