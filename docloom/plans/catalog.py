@@ -713,8 +713,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_rate(spark, sf_dir):
     out = work_path(spark, "rate")
     rates = activity.rate(_events(spark, sf_dir))
-    activity.run_to_table(rates, out, work_path(spark, "rate-log"), "complete").awaitTermination()
-    return spark.read.parquet(out).select(
+    activity.run_updates(rates, out, work_path(spark, "rate-log")).awaitTermination()
+    return activity.latest(spark, out, "window_start").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n", "per_hour"
     )
 
@@ -722,7 +722,9 @@ def stream_rate(spark, sf_dir):
 @query
 def stream_dedup(spark, sf_dir):
     out = work_path(spark, "seen")
-    seen = activity.first_seen(_events(spark, sf_dir), ["user_id", "event_type"])
+    # The events span 30 days; keys older than the delay leave the state.
+    keys = ["user_id", "event_type"]
+    seen = activity.first_seen_recently(_events(spark, sf_dir), keys, "31 days").select(*keys)
     activity.run_to_table(seen, out, work_path(spark, "seen-log")).awaitTermination()
     return spark.read.parquet(out)
 

@@ -36,16 +36,29 @@ def first_seen_recently(events: DataFrame, keys: list[str], delay: str = "1 day"
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process what is available into a Parquet table.
+def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what is available to a Parquet table."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+    return writer.format("parquet").option("path", path).trigger(availableNow=True).start()
 
-    Complete mode rewrites the table in every batch, as its result does.
+
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append the rows that each batch has changed; the batch number names their folder.
+
+    A batch costs what it changes, and groups behind the watermark leave the
+    state. ``latest`` reads the current rows.
     """
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    if mode == "complete":
-        writer = writer.foreachBatch(
-            lambda batch, _: batch.write.mode("overwrite").parquet(path)
-        )
-    else:
-        writer = writer.format("parquet").option("path", path)
-    return writer.trigger(availableNow=True).start()
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return (
+        stream.writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """Of the rows with one key those that the last batch wrote."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    rest = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(key, "row.*")

@@ -40,7 +40,7 @@ def test_recent_duplicates(spark, small, tmp_path):
 def test_rate_windows(spark, small, tmp_path):
     out = str(tmp_path / "out")
     rates = activity.rate(activity.stream_events(spark, small), "1 day")
-    activity.run_to_table(rates, out, str(tmp_path / "c"), "complete").awaitTermination()
-    table = spark.read.parquet(out)
+    activity.run_updates(rates, out, str(tmp_path / "c")).awaitTermination()
+    table = activity.latest(spark, out, "window_start")
     assert table.agg(F.sum("n")).first()[0] == 1000
     assert table.where("abs(per_hour - n / 24) > 1e-9").count() == 0
