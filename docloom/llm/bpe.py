@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 from docloom.session import ship_package
 
 LONG = 256
-# Words that one query merges, tokens that one query decodes, cuts that a worker remembers.
+# Words that one query merges, tokens that one query decodes, and cuts that a worker
+# remembers; once so many are known, new ones are forgotten after their batch.
 WORDS = 20_000
-TOKENS = 2_000_000
-REMEMBERED = 500_000
+TOKENS = 500_000
+REMEMBERED = 300_000
 TEXTS = 256
 
 CUT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
@@ -171,14 +172,18 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        if len(self.cuts) > REMEMBERED or len(self.known) > REMEMBERED:
-            self.cuts, self.known = {}, {}
         split = [CUT.findall(t) if not ODD_SPACE.search(t) else [t] if t else [] for t in (t or "" for t in texts)]
         found = {cut: self.pattern.findall(cut) for cut in set().union(*split).difference(self.cuts)}
-        self._learn({m for matches in found.values() for m in matches}.difference(self.known))
-        for cut, matches in found.items():
-            self.cuts[cut] = b"".join([self.known[m] for m in matches])
-        return [b"".join(map(self.cuts.__getitem__, cuts)) for cuts in split]
+        matches = {m for parts in found.values() for m in parts}.difference(self.known)
+        self._learn(matches)
+        for cut, parts in found.items():
+            self.cuts[cut] = b"".join([self.known[m] for m in parts])
+        out = [b"".join(map(self.cuts.__getitem__, cuts)) for cuts in split]
+        for memory, added in ((self.cuts, found), (self.known, matches)):
+            if len(memory) > REMEMBERED:
+                for name in added:
+                    del memory[name]
+        return out
 
     def decode(self, sequences: list[np.ndarray]) -> list[bytes]:
         """Bytes of each sequence of ids; all ids must be known."""

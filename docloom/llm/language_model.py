@@ -15,8 +15,8 @@ enough to be broadcast at any size of the corpus. The table of n-grams grows wit
 the corpus and is stored, partitioned and sorted by word, with its counts and
 the count of its word. A training text's n-grams are all in that table, so its
 tokens take part in one join; other n-grams are looked up once more by word.
-Scoring runs over ``SLICES`` parts of the documents one after the other, as the
-shuffle of one part is freed before the next.
+Texts are scored in ``SLICES`` parts, one after the other, as the shuffle of one
+part is freed before the next.
 
 A word stands for its 64-bit hash. A null text has the end token only. A null id
 is in fold 0; repeated rows are scored one by one. Without training texts every
@@ -40,7 +40,7 @@ from docloom.session import ship_package, work_path
 DISCOUNTED = 5
 OWN_CONTEXTS = 1 << 16
 POOLS = 4096
-SLICES = 6
+SLICES = 4
 # Words hold no blank, so these differ from all of them.
 START, END = b" start", b" end"
 REMEMBERED = 500_000
@@ -238,31 +238,43 @@ def fit(texts: DataFrame) -> Model:
     return model
 
 
-def token_scores(pairs: DataFrame, model: Model) -> DataFrame:
-    """``pairs`` (w, h, ...) with ``cw`` and ``logp``, the log10 probability of w after h."""
+def token_scores(pairs: DataFrame, model: Model, trained: bool = False) -> DataFrame:
+    """``pairs`` (w, h, ...) with ``cw`` and ``logp``, the log10 probability of w after h.
+
+    With ``trained`` the pairs come from the training texts, and so all of them
+    are in the table of n-grams.
+    """
     contexts = F.broadcast(model.contexts)
-    met = pairs.join(model.grams.select("w", "h", "c", "cw"), ["w", "h"], "left")
-    known = F.log10(discounted(F.col("c"), model.factors) * F.col("scale"))
-    seen = met.where("c is not null").join(contexts, "h").withColumn("logp", known)
+    grams = model.grams.select("w", "h", "c", "cw")
+    seen = pairs.join(grams, ["w", "h"]).join(contexts, "h").withColumn(
+        "logp", F.log10(discounted(F.col("c"), model.factors) * F.col("scale"))
+    )
+    seen = seen.select(*pairs.columns, "cw", "logp")
+    if trained:
+        return seen
     # Backoff: the next lower order is the word alone, below it the unknown class.
     heads = model.grams.where("head").select("w", "cw")
-    missed = met.where("c is null").drop("cw").join(heads, "w", "left").join(contexts, "h", "left").withColumn(
+    missed = pairs.join(grams.select("w", "h"), ["w", "h"], "left_anti").join(heads, "w", "left")
+    missed = missed.join(contexts, "h", "left").withColumn(
         "logp", F.log10(F.coalesce("alpha", F.lit(1.0)) * model.unigram(F.col("cw")))
     )
-    return seen.select(*pairs.columns, "cw", "logp").unionByName(missed.select(*pairs.columns, "cw", "logp"))
+    return seen.unionByName(missed.select(*pairs.columns, "cw", "logp"))
+
 
+def score(docs: DataFrame, model: Model, trained: bool = False, slices: int = SLICES) -> DataFrame:
+    """``doc_id, n_tokens, n_known, base_score, score`` for every row of ``docs``.
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_tokens, n_known, base_score, score`` for every row of ``docs``."""
+    ``trained`` says that ``docs`` are the texts the model was fitted on.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     path = work_path(spark, "lm-scores")
     with freed_shuffles(spark):
-        for part in range(SLICES):
+        for part in range(slices):
             mine = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-            mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(SLICES)) == part)
+            mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == part)
             pairs = mine.select("row", "text").mapInArrow(_document_pairs(model.own), "row long, w long, h long, n long")
-            scored = token_scores(pairs, model).groupBy("row").agg(
+            scored = token_scores(pairs, model, trained).groupBy("row").agg(
                 F.sum("n").alias("n_tokens"),
                 F.sum(F.when(F.col("cw") > 0, F.col("n")).otherwise(0)).alias("n_known"),
                 F.sum(F.col("n") * model.add_base(F.col("cw"))).alias("base_score"),
@@ -275,11 +287,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: counts, the base score, and the model's score."""
     spark = docs.sparkSession
+    held = fold(F.col("doc_id"), 10) == 0
     with freed_shuffles(spark):
-        model = fit(docs.where(fold(F.col("doc_id"), 10) != 0))
-    scores = score(docs, model)
+        model = fit(docs.where(~held))
+    scores = score(docs.where(~held), model, trained=True).unionByName(score(docs.where(held), model, slices=1))
     discard(docs, model.path)
     return scores.select(
-        "doc_id", (fold(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known",
+        "doc_id", held.alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )

@@ -35,7 +35,8 @@ from docloom.session import ship_package
 CLOSING_ID = 1
 WAITING = 2048
 MIN_PIECE = 16
-# Words whose ids a worker remembers, and texts that are tokenised at once.
+# Words whose ids a worker remembers (once so many are known, new ones are forgotten
+# after their batch), and texts that are tokenised at once.
 REMEMBERED = 400_000
 TEXTS = 256
 
@@ -64,7 +65,7 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def _learn(self, fresh_words: set[bytes]) -> None:
+    def _learn(self, fresh_words: set[bytes]) -> list[str]:
         split = {}
         for word in fresh_words:
             text = word.decode("utf-8")
@@ -76,15 +77,18 @@ class WordEncoder:
         self.parts[""] = b""
         for word, parts in split.items():
             self.words[word] = b"".join([self.parts[p] for p in parts])
+        return wanted
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > REMEMBERED or len(self.parts) > REMEMBERED:
-            self.words, self.parts = {}, {}
         split = [(t or "").encode("utf-8").split() for t in texts]
         fresh_words = set().union(*split).difference(self.words)
-        if fresh_words:
-            self._learn(fresh_words)
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+        fresh_parts = self._learn(fresh_words) if fresh_words else []
+        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
+        for memory, added in ((self.words, fresh_words), (self.parts, fresh_parts)):
+            if len(memory) > REMEMBERED:
+                for name in added:
+                    del memory[name]
+        return out
 
 
 class Packer:
