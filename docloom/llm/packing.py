@@ -38,7 +38,7 @@ MIN_PIECE = 16
 # Words whose ids a worker remembers (once so many are known, new ones are forgotten
 # after their batch), and texts that are tokenised at once.
 REMEMBERED = 400_000
-TEXTS = 256
+TEXTS = 512
 
 # Words of these letters and signs are tokenised in two parts, as the
 # tokenizer's own splitting does; apostrophes and digits are not among them.
@@ -52,42 +52,52 @@ class Limits:
     loss: int = 2048
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level tokenizers write for each byte: itself if it prints, else one from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, word by word with a bounded memory.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in order.
+    are those of its words in order. The letters of a simple word are one piece
+    for the tokenizer, and go to its merging model directly.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _learn(self, fresh_words: set[bytes]) -> list[str]:
-        split = {}
+    def _learn(self, fresh_words: set[bytes]) -> None:
+        split, parts, whole = {}, {"": b""}, set()
         for word in fresh_words:
             text = word.decode("utf-8")
             simple = SIMPLE.fullmatch(text)
-            split[word] = (simple[1].lower(), simple[2]) if simple else (text,)
-        wanted = list({p for parts in split.values() for p in parts if p} - self.parts.keys())
-        for part, found in zip(wanted, self.tokenizer.encode_batch(wanted, add_special_tokens=False), strict=True):
-            self.parts[part] = np.asarray(found.ids, dtype="<u4").tobytes()
-        self.parts[""] = b""
-        for word, parts in split.items():
-            self.words[word] = b"".join([self.parts[p] for p in parts])
-        return wanted
+            split[word] = stem, rest = (simple[1].lower(), simple[2]) if simple else ("", text)
+            whole.add(rest)
+            if stem not in parts:
+                found = self.model.tokenize(stem.encode("utf-8").decode("latin-1").translate(self.letters))
+                parts[stem] = np.array([t.id for t in found], dtype="<u4").tobytes()
+        others = list(whole - parts.keys())
+        for part, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
+            parts[part] = np.array(found.ids, dtype="<u4").tobytes()
+        for word, (stem, rest) in split.items():
+            self.words[word] = parts[stem] + parts[rest]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").encode("utf-8").split() for t in texts]
         fresh_words = set().union(*split).difference(self.words)
-        fresh_parts = self._learn(fresh_words) if fresh_words else []
+        if fresh_words:
+            self._learn(fresh_words)
         out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        for memory, added in ((self.words, fresh_words), (self.parts, fresh_parts)):
-            if len(memory) > REMEMBERED:
-                for name in added:
-                    del memory[name]
+        if len(self.words) > REMEMBERED:
+            for word in fresh_words:
+                del self.words[word]
         return out
 
 
@@ -121,32 +131,37 @@ class Packer:
             yield from self._fill(WAITING // 2)
 
     def _fill(self, leave: int) -> Iterator[tuple]:
-        """Pack until at most ``leave`` pieces wait."""
+        """Pack until at most ``leave`` pieces wait, or less than a full sequence."""
         pieces = self.waiting
         demands = np.array([self.demand(p) for p in pieces], dtype=np.float64).reshape(-1, 3)
         there = np.ones(len(pieces), dtype=bool)
-        # Each demand counts by its share of the limit.
-        scaled = demands / self.limits
-        while there.sum() > leave:
-            left, offset, chosen = self.limits.copy(), 0, []
-            while True:
-                fits = there & (demands <= left).all(axis=1)
-                if not fits.any():
+        tokens, segments, loss = demands.T.copy()
+        count, total = len(pieces), float(tokens.sum())
+        limit = self.limits
+        while count > leave and total >= self.size:
+            left, offset, chosen = limit.copy(), 0, []
+            while left[1] >= 1:
+                fits = there & (tokens <= left[0]) & (loss <= left[2])
+                # Each demand counts by its share of the limit, and so does what is left.
+                weight = left / limit / limit
+                at = int(np.argmax(np.where(fits, tokens * weight[0] + segments * weight[1] + loss * weight[2], -1.0)))
+                if not fits[at]:
                     break
-                at = int(np.argmax(np.where(fits, scaled @ (left / self.limits), -1.0)))
                 chosen.append(pieces[at])
-                left -= demands[at]
+                left -= (tokens[at], 1, loss[at])
                 there[at] = False
+                count -= 1
+                total -= tokens[at]
             gap = int(min(left[0], left[2]))
-            if left[1] >= 1 and gap >= (MIN_PIECE if chosen else 1) and there.any():
+            if left[1] >= 1 and gap >= (MIN_PIECE if chosen else 1) and count:
                 # The longest piece gives the part that fills the gap.
-                at = int(np.argmax(np.where(there, demands[:, 0], -1.0)))
+                at = int(np.argmax(np.where(there, tokens, -1.0)))
                 doc, start, length = pieces[at]
                 if length > gap:
                     chosen.append((doc, start, gap))
                     pieces[at] = (doc, start + gap, length - gap)
-                    demands[at] = self.demand(pieces[at])
-                    scaled[at] = demands[at] / self.limits
+                    tokens[at], _, loss[at] = self.demand(pieces[at])
+                    total -= gap
             for doc, start, length in chosen:
                 yield doc, start, length, self.sequence, offset
                 offset += length
@@ -155,9 +170,7 @@ class Packer:
 
     def close(self) -> Iterator[tuple]:
         """Pack what still waits: full sequences first, then lengths that are powers of two."""
-        while sum(p[2] for p in self.waiting) >= self.size:
-            before = len(self.waiting)
-            yield from self._fill(max(0, before - 1))
+        yield from self._fill(0)
         rest, self.waiting = self.waiting, []
         total = sum(p[2] for p in rest)
         while rest:
