@@ -35,8 +35,8 @@ LONG = 256
 # remembers; once so many are known, new ones are forgotten after their batch.
 WORDS = 20_000
 TOKENS = 500_000
-REMEMBERED = 300_000
-TEXTS = 256
+REMEMBERED = 700_000
+TEXTS = 512
 
 CUT = re.compile(r"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 # With other white space in it, a text is not cut.
@@ -144,15 +144,18 @@ class Codec:
         }))
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_in")
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words by the recursive query."""
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """Ids of words by the recursive query, as little-endian 32-bit numbers."""
         sizes = np.array([len(w) for w in words])
         ends = np.cumsum(sizes)
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
         w = np.repeat(np.arange(len(words)), sizes)
         p = np.arange(len(data)) - np.repeat(ends - sizes, sizes)
         self.db.register("tokens", pa.table({"w": w, "k": w * 1048576 + p, "id": self.byte_ids[data]}))
-        return self.db.sql(ENCODE).to_arrow_table().column("ids").to_pylist()
+        found = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
+        ids = np.asarray(found.flatten()).astype("<i4").tobytes()
+        places = (4 * np.concatenate(([0], np.cumsum(np.asarray(found.value_lengths()))))).tolist()
+        return [ids[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
 
     def _learn(self, matches: set[str]) -> None:
         short = []
@@ -168,7 +171,7 @@ class Codec:
         for at in range(0, len(short), WORDS):
             part = short[at:at + WORDS]
             for (match, _), ids in zip(part, self.merge([w for _, w in part]), strict=True):
-                self.known[match] = np.array(ids, dtype="<i4").tobytes()
+                self.known[match] = ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
