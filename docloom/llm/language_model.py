@@ -245,7 +245,8 @@ def token_scores(pairs: DataFrame, model: Model, trained: bool = False) -> DataF
     are in the table of n-grams.
     """
     contexts = F.broadcast(model.contexts)
-    grams = model.grams.select("w", "h", "c", "cw")
+    # Keys of the table are unique, so its partitions are even and are hashed, not sorted.
+    grams = model.grams.select("w", "h", "c", "cw").hint("shuffle_hash")
     seen = pairs.join(grams, ["w", "h"]).join(contexts, "h").withColumn(
         "logp", F.log10(discounted(F.col("c"), model.factors) * F.col("scale"))
     )
@@ -253,8 +254,8 @@ def token_scores(pairs: DataFrame, model: Model, trained: bool = False) -> DataF
     if trained:
         return seen
     # Backoff: the next lower order is the word alone, below it the unknown class.
-    heads = model.grams.where("head").select("w", "cw")
-    missed = pairs.join(grams.select("w", "h"), ["w", "h"], "left_anti").join(heads, "w", "left")
+    heads = model.grams.where("head").select("w", "cw").hint("shuffle_hash")
+    missed = pairs.join(model.grams.select("w", "h").hint("shuffle_hash"), ["w", "h"], "left_anti").join(heads, "w", "left")
     missed = missed.join(contexts, "h", "left").withColumn(
         "logp", F.log10(F.coalesce("alpha", F.lit(1.0)) * model.unigram(F.col("cw")))
     )
