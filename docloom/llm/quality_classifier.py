@@ -29,7 +29,7 @@ from docloom.session import save_and_reload
 
 # Weight of a site's posterior in a document's log-odds, and the score from which a document is kept.
 SITE_WEIGHT = 0.5
-KEPT_FROM = 0.4
+KEPT_FROM = 0.3
 # A group's prior weighs at least and at most so many documents.
 LEAST_WEIGHT, MOST_WEIGHT = 5.0, 10_000.0
 
