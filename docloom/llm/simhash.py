@@ -233,12 +233,15 @@ def links(prints: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
     return found.unionByName(crowded.select("a", "b"))
 
 
-def linked_groups(keys: DataFrame, limit: int = RUN_LIMIT) -> DataFrame:
-    """``fp, root, component_id, group_size`` for rows ``(doc_id, fp)``: one row per distinct fingerprint."""
+def linked_groups(keys: DataFrame, limit: int = RUN_LIMIT, find=None) -> DataFrame:
+    """``fp, root, component_id, group_size`` for rows ``(doc_id, fp)``: one row per distinct fingerprint.
+
+    ``find`` gives other links than those of few differing bits.
+    """
     prints = save_and_reload(
         keys.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-prints"
     )
-    roots = save_and_reload(components(links(prints, limit)), "simhash-roots")
+    roots = save_and_reload(components(find() if find else links(prints, limit)), "simhash-roots")
     rooted = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
@@ -255,13 +258,18 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id, or any one of repeated rows with it."""
+def deduplicate(docs: DataFrame, print_of=fingerprint, find=None) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id, or any one of repeated rows with it.
+
+    ``print_of`` a text and ``find``, which takes rows ``(fp, text)``, may give
+    another likeness than SimHash.
+    """
     names = docs.columns
     ship_package(docs.sparkSession)
     fp, hit, same = fresh(docs, "simhash_fp", "simhash_hit", "simhash_same")
-    printed = save_and_reload(docs.withColumn(fp, fingerprint(F.col("text"))), "simhash-docs")
-    groups = linked_groups(printed.select("doc_id", column(fp).alias("fp")))
+    printed = save_and_reload(docs.withColumn(fp, print_of(F.col("text"))), "simhash-docs")
+    texts = printed.select(column(fp).alias("fp"), "text")
+    groups = linked_groups(printed.select("doc_id", column(fp).alias("fp")), find=find and (lambda: find(texts)))
     groups = save_and_reload(groups.where("group_size > 1"), "simhash-groups")
     side = groups.select(F.col("fp").alias(same), F.struct("root", "component_id").alias(hit))
     marked = printed.join(side, column(fp) == column(same), "left").drop(same)

@@ -1,0 +1,59 @@
+"""Near copies of the pipeline against brute force over whole shingle sets."""
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from docloom.llm import near_copies, simhash
+
+
+def grams(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def slow_least(texts):
+    sets = {i: grams(t) for i, t in texts.items()}
+    least, changed = {i: i for i in texts}, True
+    close = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    while changed:
+        changed = False
+        for i, j in close:
+            low = min(least[i], least[j])
+            changed |= least[i] != low or least[j] != low
+            least[i] = least[j] = low
+    return least
+
+
+def made_texts():
+    """Copies with 0 to 12 words of 100 changed, unrelated texts, and a passage that all begin with."""
+    rng = np.random.default_rng(13)
+    texts, passage = [], [f"p{i}" for i in range(12)]
+    for _ in range(12):
+        words = [f"w{n}" for n in rng.integers(0, 5_000, 100)]
+        for changes in range(0, 13, 2):
+            copy = list(words)
+            for at in rng.choice(100, changes, replace=False):
+                copy[at] = f"c{rng.integers(0, 10**9)}"
+            texts.append(" ".join([*passage, *copy]))
+    base = [f"d{n}" for n in range(120)]
+    for at in range(30):
+        copy = list(base)
+        copy[at * 4] = f"e{at}"
+        texts.append(" ".join(copy))
+    return {i: t for i, t in enumerate(texts + ["one two", "One  two", "one three"])}
+
+
+@pytest.mark.parametrize("crowd, rounds", [(near_copies.CROWD, near_copies.ROUNDS), (3, 2), (3, 0)])
+def test_links_are_complete_and_exact(spark, crowd, rounds):
+    texts = made_texts()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = simhash.deduplicate(docs, near_copies.set_digest, lambda x: near_copies.links(x, crowd, rounds))
+    assert {r.doc_id for r in kept.collect()} == set(slow_least(texts).values())
+
+
+def test_stage_drops_copies_at_similarity_of_0_8(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null and trim(text) <> ''")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    kept = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, docs, small)
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(slow_least(texts).values())
