@@ -8,13 +8,13 @@ counts do not allow that, a fixed share of one is taken off. Backoff weights are
 exact: over the vocabulary and the unknown class each context's probabilities
 add up to one.
 
-The history of a token is the word before it. Words that make up at least one in
-2^16 of the training tokens, 65,536 at most, are contexts of their own; rarer
-words share ``POOLS`` contexts by their hash, so the table of contexts is small
-enough to be broadcast at any size of the corpus. The table of n-grams grows with
-the corpus and is stored, partitioned and sorted by word, with its counts and
-the count of its word. A training text's n-grams are all in that table, so its
-tokens take part in one join; other n-grams are looked up once more by word.
+A model of order two has the word before a token for its history, one of order
+three the two words before it; at the start of a text stand start marks. Each
+history is a context of its own, told by a 64-bit hash, however rare it is. The
+tables of n-grams and of contexts (their totals and backoff weights) grow with the
+corpus; they are stored tables that are joined by shuffle. An n-gram's row holds its
+probability, so a training text's tokens, whose n-grams are all in the table of
+the highest order, take part in one join; other texts are looked up order by order.
 Texts are scored in ``SLICES`` parts, one after the other, as the shuffle of one
 part is freed before the next.
 
@@ -31,15 +31,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import discard, fold, freed_shuffles
 from docloom.session import ship_package, work_path
 
 DISCOUNTED = 5
-OWN_CONTEXTS = 1 << 16
-POOLS = 4096
+ORDER = 3
 SLICES = 4
 # Words hold no blank, so these differ from all of them.
 START, END = b" start", b" end"
@@ -65,13 +64,19 @@ class Hasher:
         return np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
-def context_ids(tokens: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Contexts of the tokens of one text: a place in ``own``, or -1 minus a pool."""
-    start = np.array([xxhash.xxh64_intdigest(START)], dtype=np.uint64).view(np.int64)
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words, told by theirs."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.view(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
+def histories(tokens: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the tokens of one text: the word before, and the history at the highest order."""
+    start = np.array([xxhash.xxh64_intdigest(START)] * 2, dtype=np.uint64).view(np.int64)
     before = np.concatenate((start, tokens[:-1]))
-    at = np.minimum(np.searchsorted(own, before), max(len(own) - 1, 0))
-    pooled = -1 - (before.view(np.uint64) % np.uint64(POOLS)).astype(np.int64)
-    return np.where(own[at] == before, at, pooled) if len(own) else pooled
+    return before[1:], mixed(before[:-1], before[1:]) if order == 3 else before[1:]
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,21 +97,21 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def _pair_counts(own: np.ndarray):
-    """Counts of (word, context) over many texts."""
+def _gram_counts(order: int, highest: bool):
+    """Counts of (word, history) over many texts, at the highest order with the word before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, size = Hasher(), [], 0
 
         def flush():
-            words, contexts = (np.concatenate(x) for x in zip(*held, strict=True))
-            (words, contexts), n = unique_pairs(words, contexts)
-            return pa.RecordBatch.from_arrays([pa.array(words), pa.array(contexts), pa.array(n)], ["w", "h", "n"])
+            words, before, history = (np.concatenate(x) for x in zip(*held, strict=True))
+            at, n = unique_pairs(words, history)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[at]) for x in (words, before, history)), pa.array(n)], ["w", "h", "g", "n"])
 
         for batch in batches:
             for text in batch.column(0):
                 tokens = hasher.tokens(text.as_py())
-                held.append((tokens, context_ids(tokens, own)))
+                held.append((tokens, *histories(tokens, order if highest else 2)))
                 size += len(tokens)
                 if size >= TOKENS:
                     yield flush()
@@ -117,16 +122,17 @@ def _pair_counts(own: np.ndarray):
     return run
 
 
-def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct pair, and how often it occurs."""
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
     at = np.flatnonzero(new)
-    return (a[at], b[at]), np.diff(np.concatenate((at, [len(a)])))
+    return order[at], np.diff(np.concatenate((at, [len(a)])))
 
 
-def _document_pairs(own: np.ndarray):
-    """Counts of (word, context) in each text."""
+def _document_grams(order: int):
+    """Counts of (word, history) in each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
@@ -136,12 +142,13 @@ def _document_pairs(own: np.ndarray):
                 found, sizes = [], []
                 for text in part.column(1):
                     tokens = hasher.tokens(text.as_py())
-                    pairs, n = unique_pairs(tokens, context_ids(tokens, own))
-                    found.append((*pairs, n))
+                    before, history = histories(tokens, order)
+                    places, n = unique_pairs(tokens, history)
+                    found.append((tokens[places], before[places], history[places], n))
                     sizes.append(len(n))
                 rows = pa.array(np.repeat(part.column(0).to_numpy(), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [rows, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["row", "w", "h", "n"]
+                    [rows, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["row", "w", "h", "g", "n"]
                 )
 
     return run
@@ -168,16 +175,16 @@ def discounted(count: Column, factors: list[float]) -> Column:
 
 @dataclass
 class Model:
-    """``grams`` (w, h, c, cw, head), ``contexts`` (h, total, scale, alpha), and totals."""
+    """``words`` (w, cw); by order from two on ``grams`` (w, h, p, cw) and ``contexts`` (h, total, scale, alpha); totals."""
 
-    own: np.ndarray
-    grams: DataFrame
-    path: str
-    contexts: DataFrame
-    factors: list[float]
+    order: int
+    words: DataFrame
+    grams: list[DataFrame]
+    contexts: list[DataFrame]
+    paths: list[str]
     unigram_factors: list[float]
     tokens: int
-    words: int
+    size: int
     kept_mass: float  # sum of discounted unigram counts
     unknown: float  # probability of the class of unknown words
 
@@ -188,7 +195,7 @@ class Model:
 
     def add_base(self, count: Column) -> Column:
         """log10 probability of a word in the add-0.1 unigram model."""
-        return F.log10((F.coalesce(count, F.lit(0)) + 0.1) / (self.tokens + 0.1 * (self.words + 1)))
+        return F.log10((F.coalesce(count, F.lit(0)) + 0.1) / (self.tokens + 0.1 * (self.size + 1)))
 
 
 def _saved(df: DataFrame, path: str) -> DataFrame:
@@ -196,70 +203,75 @@ def _saved(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def fit(texts: DataFrame) -> Model:
-    """Count ``texts`` (column ``text``) and write the model's tables."""
+def _counts_of_counts(rows: DataFrame, count: str) -> dict[int, int]:
+    few = rows.where(F.col(count).isin(*range(1, DISCOUNTED + 2)))
+    return {r[count]: r["n"] for r in few.groupBy(count).agg(F.count("*").alias("n")).collect()}
+
+
+def _estimated(counted: DataFrame, model: Model, order: int) -> None:
+    """Add an order to ``model`` from n-grams (w, h, c, cw, below) with their probability at the order below."""
+    spark = counted.sparkSession
+    raw_path, path = work_path(spark, f"lm-counts-{order}"), work_path(spark, f"lm-grams-{order}")
+    raw = _saved(counted, raw_path)
+    count = discounted(F.col("c"), discounts(_counts_of_counts(raw, "c")))
+    sums = raw.groupBy("h").agg(F.sum("c").alias("total"), F.sum(count).alias("seen"), F.sum("below").alias("below"))
+    left = F.greatest(1 - F.col("seen") / F.col("total"), 1 / (F.col("total") + 1))
+    contexts_path = work_path(spark, f"lm-contexts-{order}")
+    contexts = _saved(sums.select(
+        "h", "total", ((1 - left) / F.col("seen")).alias("scale"), (left / (1 - F.col("below"))).alias("alpha")
+    ), contexts_path)
+    grams = _saved(raw.join(contexts, "h").select("w", "h", (count * F.col("scale")).alias("p"), "cw"), path)
+    discard(counted, raw_path)
+    model.grams.append(grams)
+    model.contexts.append(contexts)
+    model.paths += [path, contexts_path]
+
+
+def fit(texts: DataFrame, order: int = 2) -> Model:
+    """Count ``texts`` (column ``text``) and write the tables of a model of order two or three."""
     spark = texts.sparkSession
     ship_package(spark)
     texts = texts.select("text")
-    words = _saved(
-        texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), work_path(spark, "lm-words")
-    )
-    total = words.agg(F.sum("n")).first()[0] or 0
-    # So many have at least this share that there can't be more than OWN_CONTEXTS.
-    own = np.sort(np.array(
-        [r["w"] for r in words.where(F.col("n") * OWN_CONTEXTS >= F.lit(total)).select("w").collect()], dtype=np.int64
-    ))
-    pairs = texts.mapInArrow(_pair_counts(own), "w long, h long, n long").repartition("w")
-    counted = pairs.groupBy("w", "h").agg(F.sum("n").alias("c"))
-    of_word = Window.partitionBy("w")
-    path = work_path(spark, "lm-grams")
-    grams = _saved(
-        counted.withColumn("cw", F.sum("c").over(of_word))
-        .withColumn("head", F.row_number().over(of_word.orderBy("h")) == 1), path,
-    )
-    few = range(1, DISCOUNTED + 2)
-    counts = {r["c"]: r["n"] for r in grams.where(F.col("c").isin(*few)).groupBy("c").agg(F.count("*").alias("n")).collect()}
-    heads = grams.where("head")
-    by_word = {r["cw"]: r["n"] for r in heads.where(F.col("cw").isin(*few)).groupBy("cw").agg(F.count("*").alias("n")).collect()}
-    factors, unigram_factors = discounts(counts), discounts(by_word)
-    row = heads.agg(F.count("*").alias("v"), F.sum(discounted(F.col("cw"), unigram_factors)).alias("mass")).first()
-    mass = row["mass"] or 0.0
+    path = work_path(spark, "lm-words")
+    words = _saved(texts.mapInArrow(_word_counts, "w long, n long").groupBy("w").agg(F.sum("n").alias("cw")), path)
+    unigram_factors = discounts(_counts_of_counts(words, "cw"))
+    row = words.agg(
+        F.count("*").alias("v"), F.sum("cw").alias("total"), F.sum(discounted(F.col("cw"), unigram_factors)).alias("mass")
+    ).first()
+    total, mass = row["total"] or 0, row["mass"] or 0.0
     unknown = max(1 - mass / total, 1 / (total + 1)) if total else 1.0
-    model = Model(own, grams, path, grams, factors, unigram_factors, total, row["v"], mass, unknown)
-    sums = grams.groupBy("h").agg(
-        F.sum("c").alias("total"), F.sum(discounted(F.col("c"), factors)).alias("seen"),
-        F.sum(model.unigram(F.col("cw"))).alias("below"),
-    )
-    left = F.greatest(1 - F.col("seen") / F.col("total"), 1 / (F.col("total") + 1))
-    # At most OWN_CONTEXTS + POOLS rows.
-    model.contexts = _saved(sums.select(
-        "h", "total", ((1 - left) / F.col("seen")).alias("scale"), (left / (1 - F.col("below"))).alias("alpha")
-    ), work_path(spark, "lm-contexts"))
+    model = Model(order, words, [], [], [path], unigram_factors, total, row["v"], mass, unknown)
+    schema = "w long, h long, g long, n long"
+    pairs = texts.mapInArrow(_gram_counts(order, False), schema).groupBy("w", "h").agg(F.sum("n").alias("c"))
+    _estimated(pairs.join(words, "w").withColumn("below", model.unigram(F.col("cw"))), model, 2)
+    if order == 3:
+        # A history of two words tells its last one.
+        triples = texts.mapInArrow(_gram_counts(order, True), schema).groupBy("w", "g", "h").agg(F.sum("n").alias("c"))
+        lower = model.grams[0].select("w", "h", F.col("p").alias("below"), "cw").hint("shuffle_hash")
+        _estimated(triples.join(lower, ["w", "h"]).select("w", F.col("g").alias("h"), "c", "cw", "below"), model, 3)
     return model
 
 
-def token_scores(pairs: DataFrame, model: Model, trained: bool = False) -> DataFrame:
-    """``pairs`` (w, h, ...) with ``cw`` and ``logp``, the log10 probability of w after h.
+def token_scores(grams: DataFrame, model: Model, trained: bool = False) -> DataFrame:
+    """``grams`` (w, h, g, ...) with ``cw`` and ``logp``, the log10 probability of w after its history.
 
-    With ``trained`` the pairs come from the training texts, and so all of them
-    are in the table of n-grams.
+    With ``trained`` they come from the training texts, and so all of them are
+    in the table of the highest order.
     """
-    contexts = F.broadcast(model.contexts)
-    # Keys of the table are unique, so its partitions are even and are hashed, not sorted.
-    grams = model.grams.select("w", "h", "c", "cw").hint("shuffle_hash")
-    seen = pairs.join(grams, ["w", "h"]).join(contexts, "h").withColumn(
-        "logp", F.log10(discounted(F.col("c"), model.factors) * F.col("scale"))
-    )
-    seen = seen.select(*pairs.columns, "cw", "logp")
+    names = grams.columns
     if trained:
-        return seen
-    # Backoff: the next lower order is the word alone, below it the unknown class.
-    heads = model.grams.where("head").select("w", "cw").hint("shuffle_hash")
-    missed = pairs.join(model.grams.select("w", "h").hint("shuffle_hash"), ["w", "h"], "left_anti").join(heads, "w", "left")
-    missed = missed.join(contexts, "h", "left").withColumn(
-        "logp", F.log10(F.coalesce("alpha", F.lit(1.0)) * model.unigram(F.col("cw")))
-    )
-    return seen.unionByName(missed.select(*pairs.columns, "cw", "logp"))
+        top = model.grams[-1].withColumnRenamed("h", "g").hint("shuffle_hash")
+        return grams.join(top, ["w", "g"]).select(*names, "cw", F.log10("p").alias("logp"))
+    # Backoff, from the word alone (below it the unknown class) up to the highest order.
+    found = grams.join(model.words.hint("shuffle_hash"), "w", "left")
+    value = model.unigram(F.col("cw"))
+    for k in range(2, model.order + 1):
+        key = "h" if k == 2 else "g"
+        seen = model.grams[k - 2].select("w", F.col("h").alias(key), F.col("p").alias(f"p{k}")).hint("shuffle_hash")
+        weights = model.contexts[k - 2].select(F.col("h").alias(key), F.col("alpha").alias(f"alpha{k}"))
+        found = found.join(seen, ["w", key], "left").join(weights, key, "left")
+        value = F.coalesce(f"p{k}", F.coalesce(f"alpha{k}", F.lit(1.0)) * value)
+    return found.select(*names, "cw", F.log10(value).alias("logp"))
 
 
 def score(docs: DataFrame, model: Model, trained: bool = False, slices: int = SLICES) -> DataFrame:
@@ -274,8 +286,10 @@ def score(docs: DataFrame, model: Model, trained: bool = False, slices: int = SL
         for part in range(slices):
             mine = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
             mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == part)
-            pairs = mine.select("row", "text").mapInArrow(_document_pairs(model.own), "row long, w long, h long, n long")
-            scored = token_scores(pairs, model, trained).groupBy("row").agg(
+            grams = mine.select("row", "text").mapInArrow(
+                _document_grams(model.order), "row long, w long, h long, g long, n long"
+            )
+            scored = token_scores(grams, model, trained).groupBy("row").agg(
                 F.sum("n").alias("n_tokens"),
                 F.sum(F.when(F.col("cw") > 0, F.col("n")).otherwise(0)).alias("n_known"),
                 F.sum(F.col("n") * model.add_base(F.col("cw"))).alias("base_score"),
@@ -290,9 +304,10 @@ def report(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     held = fold(F.col("doc_id"), 10) == 0
     with freed_shuffles(spark):
-        model = fit(docs.where(~held))
+        model = fit(docs.where(~held), ORDER)
     scores = score(docs.where(~held), model, trained=True).unionByName(score(docs.where(held), model, slices=1))
-    discard(docs, model.path)
+    for path in model.paths:
+        discard(docs, path)
     return scores.select(
         "doc_id", held.alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
