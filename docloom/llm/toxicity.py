@@ -4,8 +4,10 @@ Fitting counts, over toxic and other training texts, how many contain each word
 and each word beginning. The log-odds of these units between the classes are
 taken under Dirichlet priors centred on no difference. A token scores the
 log-odds of the most significant unit of its own, less a small drift; tokens
-without a significant unit, and repetitions of a word, score the drift alone. A linear scan (Ruzzo and Tompa) finds all maximal scoring segments of a
-text. By extreme-value statistics a segment of score ``S`` in a text of ``m``
+without a significant unit score the drift alone. A word that comes again within
+``NEAR`` tokens tells less each time, so its score is divided by the number of
+its occurrence in that run. A linear scan (Ruzzo and Tompa) finds all maximal
+scoring segments of a text. By extreme-value statistics a segment of score ``S`` in a text of ``m``
 tokens is expected ``K m exp(-lambda S)`` times by chance; segments expected
 less than once are significant, their evidence ``-ln E`` is added up per text,
 and a logistic curve fitted on the training texts turns it into a probability.
@@ -40,6 +42,8 @@ BEGINNINGS = range(3, 8)
 # Weight of the Dirichlet priors, in texts; and what every token costs.
 PRIOR = 1.0
 DRIFT = 0.2
+# Occurrences of a word with no more tokens than this from one to the next share out its score.
+NEAR = 50
 # A unit's log-odds count if they differ from zero by so many standard errors.
 SIGNIFICANT = 4.0
 PREDICTED_FROM = 0.7
@@ -70,16 +74,22 @@ class Model:
             memo[word] = max(known, key=lambda x: x[1])[0] if known else 0.0
         return memo
 
+    def hits(self, tokens: list[str]) -> list[tuple[int, float]]:
+        """Places and scores, without the drift, of all tokens with a significant unit."""
+        memo = self.word_scores(tokens)
+        found, runs = [], {}
+        for i, word in enumerate(tokens):
+            if s := memo[word]:
+                last, n = runs.get(word, (i, 0))
+                n = n + 1 if i - last <= NEAR else 1
+                runs[word] = i, n
+                found.append((i, s / n))
+        return found
+
     def segments(self, text: str | None) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and (first, last, score) of all maximal scoring segments."""
         tokens = TOKEN.findall((text or "").lower())
-        memo = self.word_scores(tokens)
-        hits, told = [], set()
-        for i, s in enumerate(map(memo.__getitem__, tokens)):
-            if s and tokens[i] not in told:
-                told.add(tokens[i])
-                hits.append((i, s - DRIFT))
-        return len(tokens), maximal_segments(hits)
+        return len(tokens), maximal_segments([(i, s - DRIFT) for i, s in self.hits(tokens)])
 
     def evidence(self, text: str | None) -> float:
         m, found = self.segments(text)
@@ -197,8 +207,9 @@ def _token_scores(model: Model):
     def run(texts: pd.Series) -> pd.Series:
         def counted(text):
             tokens = TOKEN.findall((text or "").lower())
-            memo = model.word_scores(tokens)
-            return [{"score": s, "n": n} for s, n in Counter(map(memo.__getitem__, tokens)).items()]
+            scores = Counter(s for _, s in model.hits(tokens))
+            scores[0.0] += len(tokens) - scores.total()
+            return [{"score": s, "n": n} for s, n in scores.items()]
 
         return pd.Series([counted(t) for t in texts])
 
