@@ -9,8 +9,8 @@ columns of ``documents``.
 2. ``quality_classifier``: documents that the classifier, with the posteriors of
    their site, holds for junk go.
 3. ``exact_dedup``: of identical texts the row with the largest id stays.
-4. ``simhash_dedup``: of near duplicates, texts whose five-word shingles have a
-   similarity of 0.8 or more, the row with the smallest id stays.
+4. ``simhash_dedup``: of near duplicates, texts whose SimHash fingerprints (four-word
+   shingles) are linked by four differing bits or fewer, the row with the smallest id stays.
 5. ``packing``: the texts as token sequences of 2048 at most.
 
 Rows with nulls, repeated rows, empty tables and further columns are handled as
@@ -23,7 +23,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import exact_dedup, language_id, near_copies, packing, quality_classifier, simhash
+from docloom.llm import exact_dedup, language_id, packing, quality_classifier, simhash
 from docloom.llm.common import column, fresh, table
 from docloom.session import save_and_reload
 
@@ -47,7 +47,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.deduplicate(docs, near_copies.set_digest, near_copies.links)
+    return simhash.deduplicate(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
