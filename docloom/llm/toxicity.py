@@ -229,119 +229,6 @@ def _all_segments(model: Model):
     return run
 
 
-def probability(self, evidence: float) -> float:
-        return 1 / (1 + math.exp(-(self.intercept + self.slope * math.log1p(evidence))))
-
-
-def maximal_segments(hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of a sequence given by its scored places.
-
-    Every other place scores ``-DRIFT``; such runs are handled as a whole. Each
-    candidate holds its cumulative scores before and after, and is joined with
-    the last earlier one that starts lower.
-    """
-    kept: list[list] = []  # first, last, sum before, sum after, earlier candidate
-    total, place = 0.0, 0
-    for i, score in hits:
-        total -= DRIFT * (i - place)
-        place = i + 1
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        first, last, low, high = i, i, before, total
-        while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= low:
-                j = kept[j][4]
-            if j < 0 or kept[j][3] >= high:
-                kept.append([first, last, low, high, j])
-                break
-            first, low = kept[j][0], kept[j][2]
-            del kept[j:]
-    return [(a, b, high - low) for a, b, low, high, _ in kept]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of either class that contain each unit, by batch."""
-    for batch in batches:
-        bad, good = Counter(), Counter()
-        for text, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            found = {u for word in set(TOKEN.findall(text.lower())) for u in units(word)}
-            (bad if y else good).update(found)
-        names = list(bad.keys() | good.keys())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(names, pa.string()), pa.array([bad[u] for u in names], pa.int64()), pa.array([good[u] for u in names], pa.int64())],
-            ["unit", "bad", "good"],
-        )
-
-
-def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows outside of the held-out fold, about ``bound`` of them at most."""
-    ship_package(docs.sparkSession)
-    sample = save_and_reload(
-        labelled_sample(docs, labels, "toxic", fold(F.col("doc_id"), 3) != 1, bound), "toxicity-sample"
-    )
-    n = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.coalesce(F.sum(1 - F.col("y")), F.lit(0))).first()
-    n_bad, n_good = map(float, n)
-    if not n_bad or not n_good:
-        return Model({}, 1.0, 1.0, -1.0, 0.0)
-    counts = sample.select("text", "y").mapInArrow(_count, "unit string, bad long, good long").groupBy("unit").agg(
-        F.sum("bad").alias("bad"), F.sum("good").alias("good")
-    )
-    # Prior counts share the weight as the classes share the texts.
-    bad = F.col("bad") + PRIOR * n_bad / (n_bad + n_good)
-    good = F.col("good") + PRIOR * n_good / (n_bad + n_good)
-    scored = counts.withColumn("odds", F.log(bad / good) - math.log(n_bad / n_good)).withColumn(
-        "z", F.abs("odds") / F.sqrt(1 / bad + 1 / good)
-    )
-    # At most as many units as the bounded sample has.
-    rows = scored.where(F.col("z") > SIGNIFICANT).select("unit", "odds", "z").collect()
-    plain = Model({r["unit"]: (r["odds"], r["z"]) for r in rows}, 1.0, 1.0, 0.0, 0.0)
-
-    # Scores of clean tokens give lambda, and segments of clean texts give K.
-    clean = sample.where("y = 0").select(F.explode(_token_scores(plain)("text")).alias("t")).select("t.*")
-    shares = clean.groupBy("score").agg(F.sum("n").alias("n")).collect()
-    tokens = float(sum(r["n"] for r in shares)) or 1.0
-    rate = _rate([(r["n"] / tokens, r["score"] - DRIFT) for r in shares])
-    found = sample.select("y", _all_segments(plain)("text").alias("s")).select("y", "s.*").toPandas()
-    low = 1.0
-    seen = sum(sum(s >= low for s in row) for row in found[found.y == 0].scores)
-    chance = max(0.5, float(seen)) / (tokens * math.exp(-rate * low))
-    fitted = Model(plain.scores, rate, chance, 0.0, 0.0)
-    evidence = np.array([fitted.summed(m, row) for m, row in zip(found.tokens, found.scores, strict=True)])
-    intercept, slope = logistic(np.log1p(evidence)[:, None], found.y.to_numpy(float), ridge=1e-3)
-    return Model(plain.scores, rate, chance, float(intercept), float(max(slope, 0.0)))
-
-
-def _rate(shares: list[tuple[float, float]]) -> float:
-    """Lambda: the positive root of E[exp(lambda s)] = 1 over clean tokens."""
-    def excess(rate: float) -> float:
-        return sum(p * math.exp(rate * s) for p, s in shares) - 1
-
-    low, high = 1e-3, 1e-3
-    while high < 8 and excess(high) < 0:
-        low, high = high, high * 2
-    if high >= 8:
-        return 8.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if excess(middle) < 0 else (low, middle)
-    return max(low, 1e-2)
-
-
-def _best_segments(model: Model):
-    shape = T.StructType([
-        T.StructField("tokens", T.LongType()), T.StructField("scores", T.ArrayType(T.DoubleType()))
-    ])
-
-    @F.pandas_udf(shape)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        found = [model.segments(t) for t in texts]
-        return pd.DataFrame({"tokens": [m for m, _ in found], "scores": [[s for _, _, s in x] for _, x in found]})
-
-    return run
-
-
 def probability(model: Model):
     """A column function: text to its probability of being toxic."""
 
