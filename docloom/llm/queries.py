@@ -10,13 +10,16 @@ from pyspark.sql import functions as F
 
 from docloom.llm import (
     bpe,
+    decontamination,
     exact_dedup,
     language_id,
     language_model,
     packing,
     quality_classifier,
     quality_rules,
+    ranked_search,
     simhash,
+    spelling,
     toxicity,
     url_filters,
 )
@@ -110,6 +113,21 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return ranked_search.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_decontamination(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_spelling(spark, sf_dir):
+    return spelling.report(table(spark, sf_dir, "documents"))
+
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op1_quality_rules"] = r"""
@@ -178,3 +196,93 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES["op11_ranked_search"] = rf"""
+WITH it AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+total AS (SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (
+  SELECT r, doc_id, n, term, count(*) AS tf
+  FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+  WHERE term IN (SELECT term FROM it) GROUP BY r, doc_id, n, term),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+scored AS (
+  SELECT item_id, r, doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM tf JOIN w USING (term) JOIN it USING (term), total GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER best <= 10
+"""
+
+ORACLES["op12_decontamination"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item,
+         regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+wins AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[g.i:g.i + 9], ' ') AS passage
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) g WHERE len(w) > 0),
+grams AS (
+  SELECT r, g.i AS i, k, array_to_string(w[g.i:g.i + k - 1], ' ') AS passage
+  FROM d, (SELECT DISTINCT k FROM wins), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) g),
+hits AS (SELECT DISTINCT r, i, k, item FROM grams JOIN wins USING (k, passage)),
+n_hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + k)) AS p FROM hits) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n_hit USING (r) LEFT JOIN found USING (r)
+"""
+
+# One step of the checksum's table for each of the eight bits of a byte.
+_STEPS = "n"
+for _ in range(8):
+    _STEPS = f"list_transform([{_STEPS}], lambda x: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)[1]"
+
+ORACLES["op13_spelling"] = rf"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(0, 256), lambda n: {_STEPS}) AS t),
+runs AS (
+  SELECT doc_id, word, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({LOWERED}, '[a-z\x{{C0}}-\x{{FF}}]+')) AS word FROM documents)
+  GROUP BY doc_id, word),
+coded AS (
+  SELECT doc_id, word, n, list_reduce(list_concat([4294967295], flatten(list_transform(
+           string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || word, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64] END))),
+         lambda s, v: xor(s // 256, t[xor(s % 256, v) + 1])) AS s
+  FROM runs, crc WHERE length(word) >= 5),
+v AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN xor(s, 4294967295) % 97 = 0
+                    THEN left(word, xor(s, 4294967295) % length(word)) || substr(word, xor(s, 4294967295) % length(word) + 2)
+                    ELSE word END AS word, n FROM coded)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, p, left(word, p) || substr(word, p + 2) AS rest
+  FROM (SELECT word, n, unnest(range(0, length(word))) AS p FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b USING (p, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = cut.rest
+  UNION SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = cut.rest),
+best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m, arg_min(other, (-m, other)) AS other FROM near GROUP BY word),
+told AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN other END AS form,
+         CASE WHEN m >= 2 * n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at FROM told
+  UNION ALL SELECT walk.word, told.form FROM walk JOIN told ON told.word = walk.at WHERE told.form IS NOT NULL)
+SELECT told.word, told.n, told.n_near, told.form, told.form_n, walk.at AS root
+FROM walk JOIN told AS last ON last.word = walk.at AND last.form IS NULL JOIN told ON told.word = walk.word
+"""
