@@ -19,6 +19,8 @@ number of a sequence holds the number of the partition that made it.
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,16 +37,24 @@ from docloom.session import ship_package
 CLOSING_ID = 1
 WAITING = 2048
 MIN_PIECE = 16
-# Words whose ids a worker remembers (once so many are known, new ones are forgotten
-# after their batch), and texts that are tokenised at once.
-REMEMBERED = 400_000
-TEXTS = 512
+# Words and stems whose ids a worker remembers in each of two generations, and texts
+# that are tokenised at once.
+REMEMBERED = 100_000
+TEXTS = 256
 
 # Words of these letters and signs are tokenised in two parts, as the
 # tokenizer's own splitting does; apostrophes and digits are not among them.
 SIMPLE = re.compile(r"([a-zA-ZÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian 32-bit numbers."""
+    numbers = array("I", ids)
+    if sys.byteorder == "big":
+        numbers.byteswap()
+    return numbers.tobytes()
+
+
 @dataclass(frozen=True)
 class Limits:
     tokens: int = 2048
@@ -59,45 +69,77 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in prints} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
+class Memory:
+    """What has been worked out for the keys in use, in two generations.
+
+    Keys in use move to the young one. Once that is full it becomes the old one,
+    and keys that nothing has used since the last time are forgotten.
+    """
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> set:
+        """The keys that are not known; all others are young from now on."""
+        missing = keys.difference(self.young)
+        for key in missing & self.old.keys():
+            self.young[key] = self.old.pop(key)
+            missing.discard(key)
+        return missing
+
+    def age(self) -> None:
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, word by word with a bounded memory.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words in order. The letters of a simple word are one piece
-    for the tokenizer, and go to its merging model directly.
+    for the tokenizer, and go to its merging model directly. Texts that hold one of the
+    tokenizer's added tokens, which it takes out before it splits, go to it as a whole.
     """
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.words: dict[bytes, bytes] = {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
+        self.words, self.stems = Memory(), Memory()
+
+    def _stem(self, stem: str) -> bytes:
+        letters = stem if stem.isascii() else stem.encode("utf-8").decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(letters)])
 
     def _learn(self, fresh_words: set[bytes]) -> None:
-        split, parts, whole = {}, {"": b""}, set()
+        split, whole = {}, {""}
         for word in fresh_words:
             text = word.decode("utf-8")
             simple = SIMPLE.fullmatch(text)
             split[word] = stem, rest = (simple[1].lower(), simple[2]) if simple else ("", text)
             whole.add(rest)
-            if stem not in parts:
-                found = self.model.tokenize(stem.encode("utf-8").decode("latin-1").translate(self.letters))
-                parts[stem] = np.array([t.id for t in found], dtype="<u4").tobytes()
-        others = list(whole - parts.keys())
-        for part, found in zip(others, self.tokenizer.encode_batch(others, add_special_tokens=False), strict=True):
-            parts[part] = np.array(found.ids, dtype="<u4").tobytes()
-        for word, (stem, rest) in split.items():
-            self.words[word] = parts[stem] + parts[rest]
+        for stem in self.stems.missing({stem for stem, _ in split.values()}):
+            self.stems.young[stem] = self._stem(stem) if stem else b""
+        others = list(whole)
+        found = self.tokenizer.encode_batch(others, add_special_tokens=False)
+        ends = {part: packed(x.ids) for part, x in zip(others, found, strict=True)}
+        stems = self.stems.young
+        self.words.young.update((word, stems[stem] + ends[rest]) for word, (stem, rest) in split.items())
+        self.stems.age()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        fresh_words = set().union(*split).difference(self.words)
-        if fresh_words:
-            self._learn(fresh_words)
-        out = [b"".join(map(self.words.__getitem__, words)) for words in split]
-        if len(self.words) > REMEMBERED:
-            for word in fresh_words:
-                del self.words[word]
+        special = {i for i, t in enumerate(texts) if t and self.added.search(t)}
+        split = [() if i in special else (t or "").encode("utf-8").split() for i, t in enumerate(texts)]
+        missing = self.words.missing(set().union(*split))
+        if missing:
+            self._learn(missing)
+        known = self.words.young.__getitem__
+        out = [b"".join(map(known, words)) for words in split]
+        for i in special:
+            out[i] = packed(self.tokenizer.encode(texts[i], add_special_tokens=False).ids)
+        self.words.age()
         return out
 
 

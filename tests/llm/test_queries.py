@@ -49,7 +49,6 @@ def test_rules_run_in_any_order(spark, small):
 
 def check_packing(rows, texts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
@@ -338,3 +337,23 @@ def test_pipeline_packs_what_its_stages_keep(spark, small, texts):
     assert kept["simhash_dedup"] == set(least.values())
     packed = corpus_pipeline.run(spark, small).collect()
     assert check_packing(packed, {i: texts[i] for i in kept["simhash_dedup"]}) < 0.01
+
+
+def test_packing_takes_added_tokens_as_the_library_does(spark):
+    texts = {
+        1: "end of text <|endoftext|> here", 2: "word<|endoftext|>word", 3: "<|startoftext|>", 4: "a <|ENDOFTEXT|> b",
+        5: "x<|endoftext|><|startoftext|>, y's", 6: "<|endof text|>", 7: None, 8: "Ünder<|endoftext|>\n Über! " * 300,
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    check_packing(packing.report(docs, public_tokenizers.path("word_bpe_49k.json")).collect(), texts)
+
+
+def test_word_encoder_forgets_and_learns_again(monkeypatch, texts):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        definition = file.read()
+    sample = [t for _, t in sorted(texts.items())]
+    whole = packing.WordEncoder(definition).encode(sample)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    small = packing.WordEncoder(definition)
+    assert [small.encode([t])[0] for t in sample] == whole
+    assert len(small.words.young) + len(small.words.old) < 20_000
