@@ -33,8 +33,12 @@ from docloom.session import save_and_reload, spread_small_input, work_path
 from docloom.sources import documents as document_source
 from docloom.sources import logs
 from docloom.sources.collection import IngestLog
+from docloom.sources.delta_collection import DeltaCollection
 from docloom.streaming import activity, ingest
+from docloom.streaming.known_keys import KnownKeys
 from docloom.streaming.progress import ProgressStream
+from docloom.streaming.run_state import RunReports
+from docloom.streaming.url_sketches import SKETCH_BITS, UrlSketches
 
 QUERY = "that with"
 FETCHED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -625,6 +629,24 @@ def upsert_docs(spark, sf_dir):
     return upsert.upsert(old, new).select("doc_path", "doc_id", "version")
 
 
+@query
+def delta_upserts(spark, sf_dir):
+    """All documents in three deliveries to a collection kept by deltas, and then the whole bundles of two."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("source").alias("bundle"),
+        F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_path"),
+        "doc_id",
+        F.col("text").alias("body"),
+        F.lit(0).cast("long").alias("version"),
+    )
+    store = DeltaCollection(spark, work_path(spark, "delta-collection"), docs.schema)
+    for version, part in enumerate(("doc_id % 3 <> 0", "doc_id % 3 <> 1", "doc_id % 11 = 0"), 1):
+        store.upsert(docs.where(part).withColumn("version", F.lit(version).cast("long")))
+    stale = docs.where("bundle in ('src0', 'src1') and doc_id % 3 = 0").withColumn("version", F.lit(4).cast("long"))
+    store.upsert(stale, replace_bundles=True)
+    return store.read().select("doc_path", "doc_id", "version", F.octet_length("body").cast("long").alias("n_bytes"))
+
+
 @query
 def bundle_report(spark, sf_dir):
     docs = sized_prose(spark, sf_dir)
@@ -719,14 +741,32 @@ def stream_rate(spark, sf_dir):
     )
 
 
+def _delivered(parts, folder: str, run, kind: str = "parquet") -> None:
+    """Write parts of a table into a folder one after the other, and run a stream after each one."""
+    for part in parts:
+        part.write.format(kind).mode("append").save(folder)
+        run().awaitTermination()
+
+
+def _by_time(rows: DataFrame, n: int) -> list[DataFrame]:
+    """Rows in ``n`` parts, equal spans of ``ts`` in order."""
+    ends = rows.agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    if ends["low"] is None:
+        return [rows]
+    span = (ends["high"] - ends["low"]) // n + 1
+    part = F.floor((F.unix_micros("ts") - ends["low"]) / span)
+    return [rows.where(part == i) for i in range(n)]
+
+
 @query
 def stream_dedup(spark, sf_dir):
-    out = work_path(spark, "seen")
-    # The events span 30 days; keys older than the delay leave the state.
+    """Events in three deliveries, whose keys come back in each of them."""
     keys = ["user_id", "event_type"]
-    seen = activity.first_seen_recently(_events(spark, sf_dir), keys, "31 days").select(*keys)
-    activity.run_to_table(seen, out, work_path(spark, "seen-log")).awaitTermination()
-    return spark.read.parquet(out)
+    source, seen = work_path(spark, "event-files"), KnownKeys(spark, work_path(spark, "seen"), keys)
+    events, log = table(spark, sf_dir, "events"), work_path(spark, "seen-log")
+    parts = [events.where(F.pmod("event_id", F.lit(3)) == i) for i in range(3)]
+    _delivered(parts, source, lambda: seen.start(activity.stream_events(spark, source, "*.parquet"), log))
+    return seen.read().select(*keys)
 
 
 @query
@@ -736,12 +776,11 @@ def stream_ingest_docs(spark, sf_dir):
     bad = pages.withColumn("url", F.regexp_replace("url", "^https?", "ftp"))
     copies = pages.withColumn("url", F.regexp_replace("url", "[?&=]", "@"))
     rows = pages.unionByName(copies).unionByName(bad)
-    source = work_path(spark, "page-files")
-    for part in range(3):
-        rows.where(F.col("page_id") % 3 == part).coalesce(1).write.mode("append").parquet(source)
-    log_path = work_path(spark, "ingest")
-    stream = ingest.stream_pages(spark, source, files_per_batch=1)
-    ingest.start_ingest(stream, log_path, work_path(spark, "ingest-log"), FETCHED_AT).awaitTermination()
+    source, log_path, checkpoint = (work_path(spark, x) for x in ("page-files", "ingest", "ingest-log"))
+    _delivered(
+        [rows.where(F.col("page_id") % 3 == part) for part in range(3)], source,
+        lambda: ingest.start_ingest(ingest.stream_pages(spark, source), log_path, checkpoint, FETCHED_AT),
+    )
     log = IngestLog(spark, log_path)
     current = log.current().select("doc_path", "page_id", F.lit("current").alias("state"))
     return current.unionByName(log.rejects().select(
@@ -752,11 +791,46 @@ def stream_ingest_docs(spark, sf_dir):
 @query
 def stream_crawl_progress(spark, sf_dir):
     """The derived log as files that arrive out of order, followed as a stream."""
-    source = work_path(spark, "log-lines")
+    source, checkpoint = work_path(spark, "log-lines"), work_path(spark, "progress-log")
     lines = derived_log(spark, sf_dir)
-    for part in (2, 0, 3, 1):
-        lines.where(F.pmod("seq", F.lit(4)) == part).coalesce(1).write.mode("append").json(source)
     follower = ProgressStream(spark, work_path(spark, "progress"))
-    run = follower.start(logs.stream_log(spark, source, files_per_batch=1), work_path(spark, "progress-log"))
-    run.awaitTermination()
-    return follower.report(run.lastProgress["batchId"]).withColumn("rate", F.round("rate", 6))
+    runs = []
+
+    def run():
+        runs.append(follower.start(logs.stream_log(spark, source), checkpoint))
+        return runs[-1]
+
+    _delivered([lines.where(F.pmod("seq", F.lit(4)) == part) for part in (2, 0, 3, 1)], source, run, "json")
+    return follower.report(runs[-1].lastProgress["batchId"]).withColumn("rate", F.round("rate", 6))
+
+
+@query
+def stream_run_parts(spark, sf_dir):
+    """The derived log in three deliveries in order of time, followed with keyed state; two minutes of silence end a part."""
+    source, checkpoint = work_path(spark, "run-lines"), work_path(spark, "run-log")
+    reports = RunReports(spark, work_path(spark, "run-reports"), silence="2 minutes", delay="1 minute")
+    _delivered(
+        _by_time(derived_log(spark, sf_dir), 3), source,
+        lambda: reports.start(logs.stream_log(spark, source), checkpoint), "json",
+    )
+    return reports.read().select(
+        "run_id", F.unix_seconds("started_at").alias("started_s"), "n_urls", "elapsed_s", F.round("rate", 6).alias("rate"), "late"
+    )
+
+
+@query
+def stream_url_sketches(spark, sf_dir):
+    """Saved URLs of each run from sketches of three deliveries: their error against the exact count is in its bounds."""
+    source, checkpoint = work_path(spark, "sketch-files"), work_path(spark, "sketch-log")
+    lines = derived_log(spark, sf_dir)
+    sketches = UrlSketches(spark, work_path(spark, "url-sketches"))
+    _delivered(
+        _by_time(lines, 3), source, lambda: sketches.start(logs.stream_log(spark, source), checkpoint), "json"
+    )
+    told = sketches.report().select("run_id", F.col("n_urls").alias("told"), "elapsed_s")
+    exact = crawl_log.progress(lines).select("run_id", "n_urls")
+    # Three standard errors, and rounding.
+    bound = 3 * 1.04 / 2 ** (SKETCH_BITS / 2) * F.col("n_urls") + 0.5
+    return told.join(exact, "run_id").select(
+        "run_id", "n_urls", "elapsed_s", (F.abs(F.col("told") - F.col("n_urls")) <= bound).alias("within_bound")
+    )

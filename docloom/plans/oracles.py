@@ -403,6 +403,13 @@ ORACLES["upsert_docs"] = r"""
 SELECT source || '/' || doc_id || '.md' AS doc_path, doc_id, CASE WHEN lang IN ('fr', 'en') THEN 2 ELSE 1 END AS version
 FROM documents"""
 
+ORACLES["delta_upserts"] = r"""
+WITH replaced AS (SELECT DISTINCT source FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 3 = 0)
+SELECT source || '/' || doc_id || '.md' AS doc_path, doc_id,
+       CASE WHEN source IN (FROM replaced) THEN 4 WHEN doc_id % 11 = 0 THEN 3 WHEN doc_id % 3 <> 1 THEN 2 ELSE 1 END AS version,
+       octet_length(encode(text)) AS n_bytes
+FROM documents WHERE source IS NULL OR source NOT IN (FROM replaced) OR doc_id % 3 = 0"""
+
 ORACLES["bundle_report"] = f"WITH {SIZED}" + r"""
 SELECT bundle, count(*) AS n_files, count(*) FILTER (ends_with(doc_path, '.md')) AS n_md,
        CAST(sum(md_bytes) AS BIGINT) AS total_bytes, round(sum(md_bytes) / 1048576.0::DOUBLE, 2) AS total_mb,
@@ -478,6 +485,25 @@ FROM per_run"""
 
 ORACLES["stream_crawl_progress"] = ORACLES["crawl_progress"]
 
+ORACLES["stream_run_parts"] = f"WITH {LOG}," + r"""
+cut AS (
+  SELECT *, sum(CASE WHEN ts - before <= INTERVAL 2 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY run_id ORDER BY seq) AS part
+  FROM (SELECT *, lag(ts) OVER (PARTITION BY run_id ORDER BY seq) AS before FROM log)),
+in_part AS (
+  SELECT *, last_value(CASE WHEN found <> '' THEN found END IGNORE NULLS) OVER (PARTITION BY run_id, part ORDER BY seq) AS current_url
+  FROM (SELECT *, regexp_extract(line, '--\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}--\s+(\S+)', 1) AS found FROM cut)),
+per_part AS (
+  SELECT run_id, CAST(epoch(min(ts)) AS BIGINT) AS started_s, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS elapsed_s,
+         count(DISTINCT coalesce(current_url, ''))
+           FILTER (contains(lower(line), 'saved') OR contains(line, 'Saving to:')) AS n_urls
+  FROM in_part GROUP BY run_id, part)
+SELECT run_id, started_s, n_urls, elapsed_s, CASE WHEN elapsed_s > 0 THEN round(n_urls / elapsed_s::DOUBLE, 6) ELSE 0.0 END AS rate,
+       CAST(0 AS BIGINT) AS late
+FROM per_part"""
+
+ORACLES["stream_url_sketches"] = f"WITH {LOG}" + r"""
+SELECT run_id, n_urls, elapsed_s, true AS within_bound FROM per_run"""
+
 ORACLES["crawl_outcomes"] = r"""
 SELECT CASE length(html) % 10 WHEN 0 THEN 'complete' WHEN 4 THEN 'network failure' WHEN 6 THEN 'authentication failure'
                               WHEN 8 THEN 'server error' ELSE 'incomplete' END AS outcome,
