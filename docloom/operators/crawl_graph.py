@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from docloom import constants as C
 from docloom.functions import urls
-from docloom.session import save_and_reload
+from docloom.session import save_and_reload, work_path
+from docloom.streaming.known_keys import BUCKETS, KnownKeys
 
 
 def crawl_depth(
@@ -47,6 +48,30 @@ def crawl_depth(
     return reached
 
 
+def crawl_depth_filtered(
+    edges: DataFrame, seeds: DataFrame, max_depth: int = C.MAX_CRAWL_DEPTH, buckets: int = BUCKETS
+) -> DataFrame:
+    """As ``crawl_depth``, for crawls whose visited URLs are many more than those of a round.
+
+    The visited URLs lie in a bucketed table with Bloom filters (``KnownKeys``). Targets
+    that no filter knows are new without a look at the table; for the others their
+    buckets are read, and not shuffled as long as these targets are few. So what a round moves
+    follows its frontier, not all that was visited before.
+    """
+    spark = edges.sparkSession
+    steps = save_and_reload(
+        edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct(), "crawl-edges"
+    )
+    visited = KnownKeys(spark, work_path(spark, "crawl-visited"), ["url"], buckets)
+    targets = seeds.select("url")
+    for depth in range(max_depth + 1):
+        frontier = visited.add(targets, depth)
+        if frontier.isEmpty():
+            break
+        targets = steps.join(frontier, steps["src"] == frontier["url"], "left_semi").select(F.col("dst").alias("url"))
+    return visited.read().select("url", F.col("batch").cast("int").alias("depth"))
+
+
 def link_targets(links: DataFrame, pages: DataFrame) -> DataFrame:
     """Distinct link targets and whether each is a fetched page.
 

@@ -23,6 +23,7 @@ from docloom.operators import (
     extraction,
     lines,
     scope,
+    trigram_index,
     upsert,
 )
 from docloom.operators import frontmatter as frontmatter_ingest
@@ -41,6 +42,8 @@ from docloom.streaming.run_state import RunReports
 from docloom.streaming.url_sketches import SKETCH_BITS, UrlSketches
 
 QUERY = "that with"
+RARE_QUERY = "ciónrr tschä"
+INDEX_BLOCK_ROWS = 10_000
 FETCHED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,13 +193,23 @@ def crawl_scope(spark, sf_dir):
     return scope.mark_scope(candidates, seeds).select("page_id", "resolved", "in_scope")
 
 
+def crawl_edges(pages: DataFrame) -> DataFrame:
+    hrefs = scope.page_hrefs(pages).select(F.col("url").alias("src"), F.col("resolved").alias("dst"))
+    edges = hrefs.unionByName(neighbour_links(pages).select("src", "dst"))
+    return edges.where(~urls.has_rejected_suffix(F.col("dst")))
+
+
 @query
 def crawl_depth(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    hrefs = scope.page_hrefs(pages).select(F.col("url").alias("src"), F.col("resolved").alias("dst"))
-    edges = hrefs.unionByName(neighbour_links(pages).select("src", "dst"))
-    allowed = edges.where(~urls.has_rejected_suffix(F.col("dst")))
-    return crawl_graph.crawl_depth(allowed, first_pages(pages))
+    return crawl_graph.crawl_depth(crawl_edges(pages), first_pages(pages))
+
+
+@query
+def crawl_depth_filtered(spark, sf_dir):
+    """The same levels from a bucketed table of visited URLs with Bloom filters."""
+    pages = table(spark, sf_dir, "pages")
+    return crawl_graph.crawl_depth_filtered(crawl_edges(pages), first_pages(pages))
 
 
 @query
@@ -487,6 +500,17 @@ def search_topk(spark, sf_dir):
     return search_ops.top_documents(prose(spark, sf_dir), QUERY, "doc_id")
 
 
+@query
+def search_indexed(spark, sf_dir):
+    """A common and a rarer query over an indexed collection that got its documents in two deliveries."""
+    docs = prose(spark, sf_dir).select("bundle", "doc_path", "doc_id", "body")
+    index = trigram_index.indexed(docs.where("doc_id % 4 <> 1"), INDEX_BLOCK_ROWS)
+    index.store.upsert(docs.where("doc_id % 4 <= 1"))
+    index.refresh()
+    found = [index.top_documents(q, "doc_id").withColumn("query", F.lit(q)) for q in (QUERY, RARE_QUERY)]
+    return found[0].unionByName(found[1])
+
+
 @query
 def search_category(spark, sf_dir):
     docs = prose(spark, sf_dir)

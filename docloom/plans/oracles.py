@@ -162,6 +162,8 @@ walk(url, depth) AS (
 )
 SELECT url, min(depth) AS depth FROM walk GROUP BY url"""
 
+ORACLES["crawl_depth_filtered"] = ORACLES["crawl_depth"]
+
 ORACLES["path_guard"] = f"WITH {PAGE_PARTS}," + r"""
 v AS (
   SELECT page_id, unnest([rel_path, '../' || rel_path, '/' || rel_path, replace(rel_path, '/', '/../'),
@@ -331,6 +333,15 @@ ORACLES["search_counts"] = f"WITH {MATCHES} SELECT doc_id, matches FROM counted
 
 ORACLES["search_topk"] = f"WITH {MATCHES} SELECT doc_id, matches FROM best"
 
+ORACLES["search_indexed"] = r"""
+WITH words AS (SELECT unnest(['that with', 'that with', 'ciónrr tschä', 'ciónrr tschä']) AS query,
+                      unnest(['that', 'with', 'ciónrr', 'tschä']) AS word),
+counted AS (
+  SELECT query, doc_id, CAST(sum((length(lower(text)) - length(replace(lower(text), word, ''))) // length(word)) AS BIGINT) AS matches
+  FROM documents, words GROUP BY query, doc_id)
+SELECT query, doc_id, matches FROM counted WHERE matches > 0
+QUALIFY row_number() OVER (PARTITION BY query ORDER BY matches DESC, doc_id) <= 10"""
+
 ORACLES["search_category"] = f"WITH {MATCHES}" + r"""
 SELECT doc_id, doc_path, matches FROM counted
 WHERE matches > 0 AND list_contains(string_split(doc_path, '/'), 'src1')

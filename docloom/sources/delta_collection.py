@@ -40,10 +40,11 @@ NAMED_FILES = 10_000
 class DeltaCollection:
     def __init__(
         self, spark: SparkSession, root: str, columns: T.StructType = schema.DOCS, key: list[str] | None = None,
-        max_deletes: int = MAX_DELETES, max_runs: int = MAX_RUNS,
+        max_deletes: int = MAX_DELETES, max_runs: int = MAX_RUNS, block_rows: int | None = None,
     ):
         self.spark, self.root, self.columns, self.key = spark, root.rstrip("/"), columns, key or KEY
-        self.max_deletes, self.max_runs = max_deletes, max_runs
+        # Files hold at most so many rows; as many as Spark writes if it is not given.
+        self.max_deletes, self.max_runs, self.block_rows = max_deletes, max_runs, block_rows
 
     # ---- versions ----
 
@@ -92,7 +93,7 @@ class DeltaCollection:
         run, ranges = f"{self.root}/runs/{name}", f"{self.root}/ranges/{name}"
         (
             rows.select(*self.columns.fieldNames()).repartitionByRange(*self.key)
-            .sortWithinPartitions(*self.key).write.parquet(run)
+            .sortWithinPartitions(*self.key).write.option("maxRecordsPerFile", self.block_rows or 0).parquet(run)
         )
         key = F.struct(*self.key)
         self.spark.read.schema(self.columns).parquet(run).groupBy(F.col("_metadata.file_name").alias("file")).agg(

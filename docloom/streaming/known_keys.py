@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from docloom.session import save_and_reload
@@ -35,6 +36,7 @@ class KnownKeys:
     ):
         self.spark, self.root, self.keys = spark, root.rstrip("/"), list(keys)
         self.buckets, self.filter_bits = buckets, filter_bits
+        self.types: list[T.StructField] | None = None
 
     def _bit(self, n: int) -> Column:
         """The place of a key in its bucket's filter by the ``n``-th hash."""
@@ -49,7 +51,14 @@ class KnownKeys:
         path = f"{self.root}/{kind}"
         if not _exists(self.spark, path):
             return None
-        rows = self.spark.read.option("basePath", path).parquet(path)
+        reader = self.spark.read.option("basePath", path)
+        if kind == "filters":
+            reader = reader.schema(FILTERS)
+        elif self.types:
+            # Batches without a new key have no file to tell the columns.
+            folders = [T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())]
+            reader = reader.schema(T.StructType([*self.types, *folders]))
+        rows = reader.parquet(path)
         return rows if number is None else rows.where(F.col("batch") < number)
 
     def maybe_known(self, rows: DataFrame, number: int) -> DataFrame:
@@ -70,16 +79,21 @@ class KnownKeys:
             )
         return rows
 
-    def add(self, batch: DataFrame, number: int) -> None:
-        """Take a batch: its keys that no earlier batch has had go to the table."""
+    def add(self, batch: DataFrame, number: int) -> DataFrame:
+        """Take a batch: its keys that no earlier batch has had go to the table, and come back."""
+        self.types = batch.select(*self.keys).schema.fields
         rows = self._distinct(batch)
+        maybe = save_and_reload(self.maybe_known(rows, number), "keys-maybe")
         # At most as many as there are buckets.
-        hit = [r["bucket"] for r in self.maybe_known(rows, number).select("bucket").distinct().collect()]
+        hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
         new = rows
         if hit:
-            known = self._read("keys", number).where(F.col("bucket").isin(hit))
-            same = [rows[c].eqNullSafe(known[c]) for c in [*self.keys, "bucket"]]
-            new = rows.join(known, same, "left_anti")
+            names = [*self.keys, "bucket"]
+            same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in names]
+            stored = self._read("keys", number).where(F.col("bucket").isin(hit))
+            # The stored keys meet the few that may be among them, which are broadcast if they are small.
+            known = stored.join(maybe, same(stored, maybe)).select(*(maybe[c] for c in names))
+            new = rows.join(known, same(rows, known), "left_anti")
         new = save_and_reload(new, "keys-new")
         # One file per bucket and batch.
         new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/keys/batch={number}")
@@ -87,10 +101,14 @@ class KnownKeys:
         bits.groupBy("bucket", F.floor(F.col("bit") / BITMAP_BITS).cast("int").alias("slot")).agg(
             F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("bits")
         ).write.mode("overwrite").parquet(f"{self.root}/filters/batch={number}")
+        return new.select(*self.keys)
 
     def start(self, rows: DataFrame, checkpoint: str) -> StreamingQuery:
+        def take(batch: DataFrame, number: int) -> None:
+            self.add(batch, number)
+
         return (
-            rows.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint)
+            rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start()
         )
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 
@@ -23,6 +24,18 @@ def test_depth(spark):
     assert crawl_graph.crawl_depth(edges, seeds, max_depth=1).count() == 2
 
 
+def test_depth_with_filters(spark):
+    rng = random.Random(2)
+    pairs = [(f"n{rng.randrange(200)}", f"n{rng.randrange(200)}") for _ in range(500)] + [("n1", None), (None, "n2")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    seeds = spark.createDataFrame([("n0",), ("n0",), ("n7",)], "url string")
+    for depth in (0, 3, 20):
+        plain = crawl_graph.crawl_depth(edges, seeds, depth).collect()
+        found = crawl_graph.crawl_depth_filtered(edges, seeds, depth, buckets=8).collect()
+        assert Counter((r.url, r.depth) for r in found) == Counter((r.url, r.depth) for r in plain)
+    assert crawl_graph.crawl_depth_filtered(edges, seeds.limit(0)).isEmpty()
+
+
 def test_scope_by_seed(spark):
     seeds = scope.seeds_from_urls(
         spark.createDataFrame([("https://h/docs/start",), ("https://h/api/",), ("bad",)], "url string")
