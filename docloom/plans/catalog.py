@@ -35,6 +35,7 @@ from docloom.sources import documents as document_source
 from docloom.sources import logs
 from docloom.sources.collection import IngestLog
 from docloom.sources.delta_collection import DeltaCollection
+from docloom.sources.exports import ExportStore
 from docloom.streaming import activity, ingest
 from docloom.streaming.known_keys import KnownKeys
 from docloom.streaming.progress import ProgressStream
@@ -731,6 +732,22 @@ def bundle_manifest(spark, sf_dir):
     )
 
 
+@query
+def export_results(spark, sf_dir):
+    """Two exports of all bundles and of one absent bundle for each; in the second one some paths leave their bundle."""
+    docs = prose(spark, sf_dir).select("bundle", "doc_path", "doc_id", "body")
+    absent = docs.select(F.concat("bundle", F.lit("-absent")).alias("bundle"))
+    store = ExportStore(spark, work_path(spark, "exports"))
+    store.publish(docs, absent)
+    leaving = F.when(F.col("doc_id") % 149 == 0, F.concat(F.lit("../"), F.col("doc_path"))).otherwise(F.col("doc_path"))
+    store.publish(docs.where("doc_id % 5 <> 2").withColumn("doc_path", leaving), absent)
+    results = store.results().select(
+        "version", "bundle", F.coalesce("reason", F.lit("exported")).alias("outcome"), "n_docs"
+    )
+    kept = store.read("bundle string, doc_path string, doc_id long, body string").groupBy("bundle").agg(F.count("*").alias("n_docs"))
+    return results.unionByName(kept.select(F.lit(0).cast("long").alias("version"), "bundle", F.lit("current").alias("outcome"), "n_docs"))
+
+
 # ---- crawl log ------------------------------------------------------------
 
 

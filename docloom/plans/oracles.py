@@ -490,6 +490,23 @@ per_run AS (
   FROM carried GROUP BY run_id
 )"""
 
+ORACLES["export_results"] = r"""
+WITH counted AS (
+  SELECT source AS bundle, count(*) AS n1, count(*) FILTER (doc_id % 5 <> 2) AS n2,
+         count(*) FILTER (doc_id % 5 <> 2 AND doc_id % 149 = 0) AS leaving, count(*) FILTER (text IS NULL) AS silent1,
+         count(*) FILTER (doc_id % 5 <> 2 AND text IS NULL) AS silent2
+  FROM documents GROUP BY source),
+told AS (
+  SELECT *, CASE WHEN silent1 > 0 THEN 'a document has no text' ELSE 'exported' END AS first_one,
+         CASE WHEN leaving > 0 THEN 'a document path leaves the bundle' WHEN silent2 > 0 THEN 'a document has no text'
+              ELSE 'exported' END AS second_one
+  FROM counted)
+SELECT 1 AS version, bundle, first_one AS outcome, n1 AS n_docs FROM told
+UNION ALL SELECT 2, bundle, second_one, n2 FROM told WHERE n2 > 0
+UNION ALL SELECT unnest([1, 2]), bundle || '-absent', 'bundle not found', 0 FROM told
+UNION ALL SELECT 0, bundle, 'current', CASE WHEN second_one = 'exported' AND n2 > 0 THEN n2 ELSE n1 END
+FROM told WHERE first_one = 'exported' OR (second_one = 'exported' AND n2 > 0)"""
+
 ORACLES["crawl_progress"] = f"WITH {LOG}" + r"""
 SELECT run_id, n_urls, elapsed_s, CASE WHEN elapsed_s > 0 THEN round(n_urls / elapsed_s::DOUBLE, 6) ELSE 0.0 END AS rate
 FROM per_run"""
