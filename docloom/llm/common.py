@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,3 +63,8 @@ def discard(df: DataFrame, path: str) -> None:
     context = df.sparkSession.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_memory() -> None:
+    """Give back what Arrow keeps of earlier batches; a worker lives on between tasks and stages."""
+    pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docloom.llm.common import fresh
+from docloom.llm.common import fresh, release_memory
 from docloom.session import ship_package
 
 CLOSING_ID = 1
@@ -39,8 +39,8 @@ WAITING = 2048
 MIN_PIECE = 16
 # Words and stems whose ids a worker remembers in each of two generations, and texts
 # that are tokenised at once.
-REMEMBERED = 100_000
-TEXTS = 256
+REMEMBERED = 60_000
+TEXTS = 128
 
 # Words of these letters and signs are tokenised in two parts, as the
 # tokenizer's own splitting does; apostrophes and digits are not among them.
@@ -273,7 +273,9 @@ def _pack_batches(definition, limits: Limits):
             waiting = {p[0] for p in packer.waiting}
             held = {doc: x for doc, x in held.items() if doc in waiting}
             packer.prompts = {doc: packer.prompts[doc] for doc in waiting}
+            release_memory()
         yield from rows(packer.close())
+        release_memory()
 
     return run
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import column, fresh
+from docloom.llm.common import column, fresh, release_memory
 from docloom.llm.components import components
 from docloom.session import save_and_reload, ship_package
 
@@ -67,7 +67,9 @@ def simhash(text: str | None) -> int:
 
 @F.pandas_udf(T.LongType())
 def fingerprint(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([simhash(t) for t in texts], dtype=np.uint64).view(np.int64))
+    found = np.array([simhash(t) for t in texts], dtype=np.uint64)
+    release_memory()
+    return pd.Series(found.view(np.int64))
 
 
 # ---- the covering code ----------------------------------------------------
