@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 # Bound on the rows that a classifier is fitted on. Rows are drawn by a hash of
 # their id, so the bound holds but for the spread of a binomial draw.
 SAMPLE_ROWS = 20_000
-_PARTS = 1_000_000
+_PARTS = 1 << 62
+
+
+def threshold(bound: int, total: int) -> int:
+    """Hashes of 62 bits below it are about ``bound`` of ``total``; of more rows than any table has it is not zero."""
+    return min(bound * _PARTS // max(total, 1), _PARTS)
 
 
 def drawn(rows: DataFrame, id_col: str, bound: int = SAMPLE_ROWS) -> DataFrame:
@@ -17,7 +22,8 @@ def drawn(rows: DataFrame, id_col: str, bound: int = SAMPLE_ROWS) -> DataFrame:
     total = rows.count()
     if total <= bound:
         return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(_PARTS)) < bound * _PARTS // total)
+    place = F.xxhash64(F.col(id_col), F.lit("sample")).bitwiseAND(F.lit(_PARTS - 1))
+    return rows.where(place < F.lit(threshold(bound, total)))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable, bound: int = SAMPLE_ROWS) -> DataFrame:
