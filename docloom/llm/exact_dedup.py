@@ -13,7 +13,7 @@ with the winning id one stays. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import column, fresh
@@ -70,19 +70,24 @@ def mark(docs: DataFrame, keys: DataFrame, id_col: str, digest_col: str, out: st
     marked = frequent.unionByName(others)
 
     winner = column(hit).isNull() | column(id_col).eqNullSafe(column(hit)["keep_id"])
-    marked = marked.withColumn(tie, winner & (F.coalesce(column(hit)["winners"], F.lit(1)) > 1))
-    once = marked.where(~column(tie)).withColumn(place, F.lit(1))
-    # Repeated rows with the winning id: one of them stays.
-    again = marked.where(column(tie)).withColumn(
-        place, F.row_number().over(Window.partitionBy(column(digest_col)).orderBy(F.lit(1)))
-    )
-    both = once.unionByName(again)
+    if heavy.where("winners > 1").isEmpty() and light.where("winners > 1").isEmpty():
+        both = marked.withColumns({tie: F.lit(False), place: F.lit(True)})
+    else:
+        # Repeated rows with the winning id: one of them stays, that of the least number in a written table.
+        marked = marked.withColumn(tie, winner & (F.coalesce(column(hit)["winners"], F.lit(1)) > 1))
+        number, same = fresh(marked, "dedup_number", "dedup_same")
+        again = save_and_reload(
+            marked.where(column(tie)).withColumn(number, F.monotonically_increasing_id()), "dedup-again"
+        )
+        first = again.groupBy(column(digest_col).alias(same)).agg(F.min(column(number)).alias(place))
+        again = again.join(first, column(digest_col) == column(same)).withColumn(place, column(place) == column(number))
+        both = marked.where(~column(tie)).withColumn(place, F.lit(True)).unionByName(again.drop(number, same))
     return both.withColumn(
         out,
         F.struct(
             F.when(column(hit).isNull(), column(id_col)).otherwise(column(hit)["keep_id"]).alias("keep_id"),
             F.coalesce(column(hit)["group_size"], F.lit(1)).cast("long").alias("group_size"),
-            (winner & (column(place) == 1)).alias("kept"),
+            (winner & column(place)).alias("kept"),
         ),
     ).drop(hit, tie, place)
 
