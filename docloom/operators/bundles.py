@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom import constants as C
@@ -24,20 +24,24 @@ def rendered_bytes():
     ).cast("long")
 
 
+def content_digest() -> Column:
+    """A number told by a document's path and body."""
+    return F.conv(
+        F.substring(F.md5(F.concat(F.col("doc_path"), F.lit("\n"), F.col("body"))), 1, 15), 16, 10
+    ).cast("long")
+
+
 def manifest(docs: DataFrame) -> DataFrame:
     """Descriptor row per bundle, with counts and a digest of the content.
 
     The digest does not depend on order, so it combines before the shuffle.
     """
-    digest = F.conv(
-        F.substring(F.md5(F.concat(F.col("doc_path"), F.lit("\n"), F.col("body"))), 1, 15), 16, 10
-    ).cast("long")
     return (
         docs.groupBy("bundle")
         .agg(
             F.count("*").alias("n_docs"),
             F.sum("md_bytes").alias("total_bytes"),
-            F.bit_xor(digest).alias("content_hash"),
+            F.bit_xor(content_digest()).alias("content_hash"),
         )
         .withColumn("name", F.col("bundle"))
         .withColumn("description", F.concat(F.upper("bundle"), F.lit(C.DESCRIPTION_SUFFIX)))
@@ -79,11 +83,18 @@ def sizes(docs: DataFrame) -> DataFrame:
             F.count_if(F.endswith("doc_path", F.lit(".md"))).alias("n_md"),
             F.sum("md_bytes").alias("total_bytes"),
         )
-        .withColumn("total_mb", F.round(F.col("total_bytes") / (1024 * 1024), 2))
-        .withColumn("over_limit", F.col("total_bytes") > C.SIZE_LIMIT_BYTES)
+        .withColumns(size_limits())
     )
 
 
+def size_limits() -> dict[str, Column]:
+    """Size in MB, and whether it is over the limit, from ``total_bytes``."""
+    return {
+        "total_mb": F.round(F.col("total_bytes") / (1024 * 1024), 2),
+        "over_limit": F.col("total_bytes") > C.SIZE_LIMIT_BYTES,
+    }
+
+
 def index_pages(docs: DataFrame) -> DataFrame:
     return docs.groupBy("bundle").agg(
         F.count_if(F.endswith("doc_path", F.lit("index.md"))).alias("n_index")
@@ -101,18 +112,7 @@ def report(
     documents are worked out once, into a narrow table that both parts read.
     """
     docs = save_and_reload(docs.select("bundle", "doc_path", "md_bytes"), "report-sizes")
-    known = descriptors.select(
-        "bundle",
-        "name",
-        "description",
-        (F.col("descriptor") if "descriptor" in descriptors.columns else F.lit(None).cast("string")).alias(
-            "descriptor"
-        ),
-        F.lit(True).alias("described"),
-    )
-    rows = sizes(docs).join(known, "bundle", "full_outer")
-    if requested is not None:
-        rows = rows.join(requested.select("bundle").distinct(), "bundle", "full_outer")
+    largest = None
     if list_largest:
         largest = (
             largest_docs(docs)
@@ -125,6 +125,26 @@ def report(
                 ),
             )
         )
+    return checked(sizes(docs), descriptors, requested, largest)
+
+
+def checked(
+    sized: DataFrame, descriptors: DataFrame, requested: DataFrame | None = None, largest: DataFrame | None = None
+) -> DataFrame:
+    """The report from ``sizes`` and the lists of largest documents (``bundle, top_files``) of the bundles."""
+    known = descriptors.select(
+        "bundle",
+        "name",
+        "description",
+        (F.col("descriptor") if "descriptor" in descriptors.columns else F.lit(None).cast("string")).alias(
+            "descriptor"
+        ),
+        F.lit(True).alias("described"),
+    )
+    rows = sized.join(known, "bundle", "full_outer")
+    if requested is not None:
+        rows = rows.join(requested.select("bundle").distinct(), "bundle", "full_outer")
+    if largest is not None:
         rows = rows.join(largest, "bundle", "left")
 
     has_docs, described = F.col("n_files").isNotNull(), F.col("described").isNotNull()

@@ -33,9 +33,11 @@ from docloom.plans.crawl import reachable
 from docloom.session import save_and_reload, spread_small_input, work_path
 from docloom.sources import documents as document_source
 from docloom.sources import logs
+from docloom.sources.bundle_views import BundleViews
 from docloom.sources.collection import IngestLog
 from docloom.sources.delta_collection import DeltaCollection
 from docloom.sources.exports import ExportStore
+from docloom.sources.link_status import LinkStatus
 from docloom.streaming import activity, ingest
 from docloom.streaming.known_keys import KnownKeys
 from docloom.streaming.progress import ProgressStream
@@ -45,6 +47,7 @@ from docloom.streaming.url_sketches import SKETCH_BITS, UrlSketches
 QUERY = "that with"
 RARE_QUERY = "ciónrr tschä"
 INDEX_BLOCK_ROWS = 10_000
+STATUS_BUCKETS = 16
 FETCHED_AT = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -483,6 +486,23 @@ def link_targets(spark, sf_dir):
     return crawl_graph.link_targets(found.unionByName(added), pages)
 
 
+@query
+def link_status(spark, sf_dir):
+    """Pages and their links in three deliveries, and what became of each target in which of them."""
+    pages = table(spark, sf_dir, "pages")
+    found = scope.page_hrefs(pages).select("page_id", "resolved")
+    added = neighbour_links(pages).select(
+        "page_id",
+        F.concat(paths.source_url(paths.relative_html_path(F.col("dst")), urls.scheme(F.col("dst"))), F.lit(".html#x")).alias("resolved"),
+    )
+    every = save_and_reload(found.unionByName(added), "links")
+    status = LinkStatus(spark, work_path(spark, "link-status"), STATUS_BUCKETS)
+    for part in range(3):
+        mine = F.col("page_id") % 3 == part
+        status.deliver(every.where(mine), pages.where(mine), part)
+    return status.read()
+
+
 # ---- search ---------------------------------------------------------------
 
 
@@ -682,6 +702,28 @@ def bundle_report(spark, sf_dir):
     )
 
 
+@query
+def bundle_views(spark, sf_dir):
+    """Sizes and largest documents kept up to date over three deliveries; the last one replaces two bundles."""
+    docs = prose(spark, sf_dir).select("bundle", "doc_path", "doc_id", "title", "source_url", "fetched_at", "body")
+    moved = docs.withColumn("body", F.when(F.col("doc_id") % 5 == 0, "moved").otherwise(F.col("body")))
+    parts = [
+        (docs.where("doc_id % 3 <> 0"), False),
+        (moved.where("doc_id % 3 <> 1"), False),
+        (docs.where("bundle in ('src0', 'src1') and doc_id % 3 = 0"), True),
+    ]
+    store = DeltaCollection(spark, work_path(spark, "viewed-collection"), sized_prose(spark, sf_dir).select(*docs.columns, "md_bytes").schema)
+    views = BundleViews(spark, work_path(spark, "bundle-views"), store)
+    for part, whole in parts:
+        store.upsert(part.withColumn("md_bytes", bundles.rendered_bytes()), replace_bundles=whole)
+        views.refresh()
+    named = views.sizes().select(F.col("bundle").alias("b"), "n_files", "n_md", "total_bytes")
+    largest = views.largest_docs()
+    return largest.join(named, F.col("bundle").eqNullSafe(F.col("b"))).select(
+        "bundle", F.col("rank").cast("long").alias("rank"), "doc_path", "kb", "n_files", "n_md", "total_bytes"
+    )
+
+
 @query
 def bundle_validation(spark, sf_dir):
     """For each source one bundle of every kind that the checks tell apart."""

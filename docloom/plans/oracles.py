@@ -323,6 +323,23 @@ SELECT resolved, f.key IS NOT NULL AS is_internal
 FROM targets LEFT JOIN fetched f
   ON f.key = regexp_replace(regexp_replace(regexp_replace(resolved, '#.*$', ''), '^[a-z]+://', ''), '(/index)?(\.html)?/?$', '')"""
 
+ORACLES["link_status"] = f"WITH {HREFS}," + r"""
+targets AS (
+  SELECT resolved, min(part) AS linked FROM (
+    SELECT resolved, page_id % 3 AS part FROM hrefs
+    UNION ALL
+    SELECT b.source_url || '.html#x', a.page_id % 3 FROM pages a JOIN located b ON b.page_id = a.page_id + 1)
+  GROUP BY resolved
+),
+fetched AS (
+  SELECT regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '^[a-z]+://', ''), '(/index)?(\.html)?/?$', '') AS key,
+         min(page_id % 3) AS arrived
+  FROM pages GROUP BY key
+)
+SELECT resolved, arrived IS NOT NULL AS is_internal, greatest(linked, coalesce(arrived, linked)) AS since
+FROM targets LEFT JOIN fetched f
+  ON f.key = regexp_replace(regexp_replace(regexp_replace(resolved, '#.*$', ''), '^[a-z]+://', ''), '(/index)?(\.html)?/?$', '')"""
+
 # ---- search ---------------------------------------------------------------
 
 ORACLES["search_filter"] = (
@@ -429,6 +446,20 @@ SELECT bundle, count(*) AS n_files, count(*) FILTER (ends_with(doc_path, '.md'))
        first(doc_path ORDER BY md_bytes DESC, doc_path) AS largest
 FROM sized GROUP BY bundle"""
 
+ORACLES["bundle_views"] = f"WITH {SIZED}" + r""",
+replaced AS (SELECT DISTINCT source FROM documents WHERE source IN ('src0', 'src1') AND doc_id % 3 = 0),
+current AS (
+  SELECT bundle, doc_path,
+         CASE WHEN doc_id % 3 <> 1 AND doc_id % 5 = 0 AND (bundle IS NULL OR bundle NOT IN (FROM replaced))
+              THEN md_bytes - strlen(body) + 5 ELSE md_bytes END AS size
+  FROM sized WHERE bundle IS NULL OR bundle NOT IN (FROM replaced) OR doc_id % 3 = 0
+)
+SELECT bundle, row_number() OVER (PARTITION BY bundle ORDER BY size DESC, doc_path) AS rank, doc_path, round(size / 1024.0::DOUBLE, 1) AS kb,
+       count(*) OVER (PARTITION BY bundle) AS n_files,
+       count(*) FILTER (ends_with(doc_path, '.md')) OVER (PARTITION BY bundle) AS n_md,
+       CAST(sum(size) OVER (PARTITION BY bundle) AS BIGINT) AS total_bytes
+FROM current QUALIFY rank <= 10"""
+
 ORACLES["bundle_validation"] = r"""
 WITH every AS (
   SELECT source || '-' || kind AS bundle, kind, n

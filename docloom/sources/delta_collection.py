@@ -86,6 +86,31 @@ class DeltaCollection:
             return self.spark.createDataFrame([], self.columns)
         return self._placed(live).select(*self.columns.fieldNames())
 
+    def changes(self, version: int) -> DataFrame | None:
+        """What a commit did: its rows with ``sign`` 1 and the rows it overwrote with ``sign`` -1.
+
+        A commit that only wrote the collection anew has no changes. Of the earlier rows
+        only the files that hold overwritten ones are read, if these are not too many.
+        """
+        commits = self._commits()
+        commit = next(c for c in commits if c["version"] == version)
+        if commit["whole"] and commit is not commits[0]:
+            return None
+        added = self.spark.read.schema(self.columns).parquet(commit["run"]).withColumn("sign", F.lit(1))
+        if not commit["n_deletes"]:
+            return added
+        live = self.live(version - 1)
+        gone = self.spark.read.schema(DELETES).parquet(commit["deletes"])
+        places = self.spark.read.parquet(*(c["ranges"] for c in live)).withColumnRenamed("file", "_file")
+        held = gone.select("_file").distinct().join(places, "_file").select("run", "_file")
+        files = held.limit(NAMED_FILES + 1).collect()
+        paths = [f"{f['run']}/{f['_file']}" for f in files] if len(files) <= NAMED_FILES else [c["run"] for c in live]
+        old = self.spark.read.schema(self.columns).parquet(*paths).select(
+            "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_place")
+        )
+        taken = old.join(broadcast_if_bounded(gone, commit["n_deletes"], DELETE_BYTES), ["_file", "_place"], "left_semi")
+        return added.unionByName(taken.select(*self.columns.fieldNames(), F.lit(-1).alias("sign")))
+
     # ---- writing ----
 
     def _write_run(self, rows: DataFrame) -> tuple[str, str, int]:

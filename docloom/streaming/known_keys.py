@@ -79,21 +79,33 @@ class KnownKeys:
             )
         return rows
 
+    def _same(self, a: DataFrame, b: DataFrame) -> list[Column]:
+        return [a[c].eqNullSafe(b[c]) for c in [*self.keys, "bucket"]]
+
+    def _stored(self, rows: DataFrame, number: int) -> DataFrame | None:
+        """Of rows (keys, bucket) those that the table has from batches before ``number``."""
+        maybe = save_and_reload(self.maybe_known(rows, number), "keys-maybe")
+        # At most as many as there are buckets.
+        hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
+        if not hit:
+            return None
+        stored = self._read("keys", number).where(F.col("bucket").isin(hit))
+        # The stored keys meet the few that may be among them, which are broadcast if they are small.
+        return stored.join(maybe, self._same(stored, maybe)).select(*(maybe[c] for c in [*self.keys, "bucket"]))
+
+    def known(self, batch: DataFrame, number: int) -> DataFrame:
+        """The distinct keys of ``batch`` that batches before ``number`` have had; none are added."""
+        self.types = batch.select(*self.keys).schema.fields
+        rows = self._distinct(batch)
+        known = self._stored(rows, number)
+        return (rows.limit(0) if known is None else known).select(*self.keys)
+
     def add(self, batch: DataFrame, number: int) -> DataFrame:
         """Take a batch: its keys that no earlier batch has had go to the table, and come back."""
         self.types = batch.select(*self.keys).schema.fields
         rows = self._distinct(batch)
-        maybe = save_and_reload(self.maybe_known(rows, number), "keys-maybe")
-        # At most as many as there are buckets.
-        hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
-        new = rows
-        if hit:
-            names = [*self.keys, "bucket"]
-            same = lambda a, b: [a[c].eqNullSafe(b[c]) for c in names]
-            stored = self._read("keys", number).where(F.col("bucket").isin(hit))
-            # The stored keys meet the few that may be among them, which are broadcast if they are small.
-            known = stored.join(maybe, same(stored, maybe)).select(*(maybe[c] for c in names))
-            new = rows.join(known, same(rows, known), "left_anti")
+        known = self._stored(rows, number)
+        new = rows if known is None else rows.join(known, self._same(rows, known), "left_anti")
         new = save_and_reload(new, "keys-new")
         # One file per bucket and batch.
         new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/keys/batch={number}")
