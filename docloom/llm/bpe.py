@@ -17,6 +17,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -133,6 +134,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        self.names = {rank: str(rank) for rank in ranks.values()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.cuts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -206,6 +208,10 @@ class Codec:
             at = stop
         return out
 
+    def decimal(self, ids: np.ndarray) -> bytes:
+        """The ids as decimal numbers with one space between them."""
+        return " ".join(map(self.names.__getitem__, ids.tolist())).encode()
+
     def _decode(self, sequences: list[np.ndarray]) -> list[bytes]:
         sizes = [len(s) for s in sequences]
         ids = np.concatenate(sequences).astype(np.int64)
@@ -271,11 +277,30 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def report(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    both = decode(encode(docs, ranks_path, pattern), ranks_path, pattern)
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    """One row per document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
+
+    One pass encodes, decodes what it encoded and takes both digests, so ids and
+    decoded texts do not leave their worker.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared = spark.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_codec(shared.value, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sequences = [np.frombuffer(b, dtype="<i4") for b in codec.encode(part.column(1).to_pylist())]
+                decoded = codec.decode(sequences)
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0),
+                    pa.array([len(ids) for ids in sequences], pa.int64()),
+                    pa.array([hashlib.sha256(codec.decimal(ids)).hexdigest() for ids in sequences]),
+                    pa.array([hashlib.sha256(text).hexdigest() for text in decoded]),
+                ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
