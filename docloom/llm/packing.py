@@ -37,10 +37,10 @@ from docloom.session import ship_package
 CLOSING_ID = 1
 WAITING = 2048
 MIN_PIECE = 16
-# Words and stems whose ids a worker remembers in each of two generations, and texts
-# that are tokenised at once.
+# Words and stems whose ids a worker remembers in each of two generations, about 250 bytes
+# each, and texts that are tokenised at once.
 REMEMBERED = 60_000
-TEXTS = 128
+TEXTS = 256
 
 # Words of these letters and signs are tokenised in two parts, as the
 # tokenizer's own splitting does; apostrophes and digits are not among them.
@@ -76,20 +76,21 @@ class Memory:
     and keys that nothing has used since the last time are forgotten.
     """
 
-    def __init__(self):
+    def __init__(self, size: int):
+        self.size = size
         self.young: dict = {}
         self.old: dict = {}
 
-    def missing(self, keys: set) -> set:
+    def missing(self, keys) -> set:
         """The keys that are not known; all others are young from now on."""
-        missing = keys.difference(self.young)
+        missing = set(keys).difference(self.young)
         for key in missing & self.old.keys():
             self.young[key] = self.old.pop(key)
             missing.discard(key)
         return missing
 
     def age(self) -> None:
-        if len(self.young) > REMEMBERED:
+        if len(self.young) > self.size:
             self.old, self.young = self.young, {}
 
 
@@ -102,31 +103,42 @@ class WordEncoder:
     tokenizer's added tokens, which it takes out before it splits, go to it as a whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, remembered: int = REMEMBERED):
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
-        self.words, self.stems = Memory(), Memory()
+        self.words, self.stems = Memory(remembered), Memory(remembered)
 
     def _stem(self, stem: str) -> bytes:
         letters = stem if stem.isascii() else stem.encode("utf-8").decode("latin-1").translate(self.letters)
         return packed([t.id for t in self.model.tokenize(letters)])
 
     def _learn(self, fresh_words: set[bytes]) -> None:
-        split, whole = {}, {""}
+        # Fresh words as (word, end) by stem; the stem of a word that is not simple is empty.
+        by_stem: dict[str, list[tuple[bytes, str]]] = {"": []}
+        ends, simple = {""}, SIMPLE.fullmatch
         for word in fresh_words:
             text = word.decode("utf-8")
-            simple = SIMPLE.fullmatch(text)
-            split[word] = stem, rest = (simple[1].lower(), simple[2]) if simple else ("", text)
-            whole.add(rest)
-        for stem in self.stems.missing({stem for stem, _ in split.values()}):
-            self.stems.young[stem] = self._stem(stem) if stem else b""
-        others = list(whole)
-        found = self.tokenizer.encode_batch(others, add_special_tokens=False)
-        ends = {part: packed(x.ids) for part, x in zip(others, found, strict=True)}
-        stems = self.stems.young
-        self.words.young.update((word, stems[stem] + ends[rest]) for word, (stem, rest) in split.items())
+            found = simple(text)
+            stem, rest = (found[1].lower(), found[2]) if found else ("", text)
+            ends.add(rest)
+            if stem in by_stem:
+                by_stem[stem].append((word, rest))
+            else:
+                by_stem[stem] = [(word, rest)]
+        stems, words = self.stems.young, self.words.young
+        for stem in self.stems.missing(by_stem.keys()):
+            stems[stem] = self._stem(stem) if stem else b""
+        others = list(ends)
+        known = {
+            part: packed(x.ids)
+            for part, x in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True)
+        }
+        for stem, members in by_stem.items():
+            ids = stems[stem]
+            for word, rest in members:
+                words[word] = ids + known[rest] if rest else ids
         self.stems.age()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -231,15 +243,17 @@ class Packer:
             self.sequence += 1
 
 
-_encoders: dict[int, WordEncoder] = {}
+_encoders: dict[tuple[int, int], WordEncoder] = {}
 
 
-def _pack_batches(definition, limits: Limits):
+def _pack_batches(definition, limits: Limits, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = definition.value
         # One encoder for each worker, so that words are remembered between tasks.
-        encoder = _encoders.setdefault(hash(text), None) or WordEncoder(text)
-        _encoders[hash(text)] = encoder
+        key = hash(text), remembered
+        if key not in _encoders:
+            _encoders[key] = WordEncoder(text, remembered)
+        encoder = _encoders[key]
         packer = Packer(limits, (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36)
         closing = np.array([CLOSING_ID], dtype="<u4").tobytes()
         held: dict[int, tuple] = {}
@@ -283,11 +297,14 @@ def _pack_batches(definition, limits: Limits):
 NAMES = ["row_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt: str | None = None, remembered: int = REMEMBERED
+) -> DataFrame:
     """Pieces with their ids: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
     ``ids`` are little-endian 32-bit numbers. ``prompt`` names a column with the
-    number of leading tokens without loss.
+    number of leading tokens without loss. ``remembered`` bounds the memory of words of
+    a worker: more of it saves time, and the pieces are the same.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -297,14 +314,14 @@ def pack(docs: DataFrame, tokenizer_path: str, limits: Limits = Limits(), prompt
     name, = fresh(docs, "pack_prompt")
     rows = docs.select("doc_id", "text", prompts.alias(name))
     pieces = rows.mapInArrow(
-        _pack_batches(definition, limits),
+        _pack_batches(definition, limits, remembered),
         "row_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long",
     )
     return pieces.withColumnRenamed("row_id", "doc_id")
 
 
-def report(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+def report(docs: DataFrame, tokenizer_path: str, remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece, with a checksum in place of its ids."""
-    return pack(docs, tokenizer_path).select(
+    return pack(docs, tokenizer_path, remembered=remembered).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -40,7 +40,8 @@ def op1_quality_rules(spark, sf_dir):
 
 @query
 def op2_packing(spark, sf_dir):
-    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    # No other stage shares the workers here, so there is room for more words than in the pipeline.
+    return packing.report(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 300_000)
 
 
 @query
