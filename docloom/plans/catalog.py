@@ -37,6 +37,7 @@ from docloom.sources.bundle_views import BundleViews
 from docloom.sources.collection import IngestLog
 from docloom.sources.delta_collection import DeltaCollection
 from docloom.sources.exports import ExportStore
+from docloom.sources.file_tree import read_file_tree, write_file_tree
 from docloom.sources.link_status import LinkStatus
 from docloom.streaming import activity, ingest
 from docloom.streaming.known_keys import KnownKeys
@@ -140,6 +141,20 @@ def scan_pages(spark, sf_dir):
     )
 
 
+@query
+def scan_file_tree(spark, sf_dir):
+    """All pages saved as files, some below folders with a leading ``_``, and read back from the tree."""
+    root = work_path(spark, "tree")
+    host = F.regexp_extract("url", r"\A[a-z]+://([^/?#]*)", 1)
+    folder = F.when(F.col("page_id") % 3 == 0, "_saved").otherwise("saved")
+    files = table(spark, sf_dir, "pages").select(
+        F.concat_ws("/", host, folder, F.concat(F.col("page_id").cast("string"), F.lit(".html"))).alias("rel_path"),
+        F.col("html").alias("content"),
+    )
+    save_and_reload(write_file_tree(files, root), "tree-files")
+    return read_file_tree(spark, root, ".html").select("rel_path", "n_bytes", F.md5("content").alias("content_md5"))
+
+
 @query
 def scan_docs(spark, sf_dir):
     return prose(spark, sf_dir).select(

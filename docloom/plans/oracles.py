@@ -109,6 +109,13 @@ shown AS (
 
 ORACLES["scan_pages"] = "SELECT page_id, url, strlen(html) AS n_bytes FROM pages"
 
+ORACLES["scan_file_tree"] = r"""
+SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || '/' || CASE WHEN page_id % 3 = 0 THEN '_saved' ELSE 'saved' END
+         || '/' || page_id || '.html' AS rel_path,
+       strlen(coalesce(html, '')) AS n_bytes, md5(coalesce(html, '')) AS content_md5
+FROM pages
+"""
+
 ORACLES["scan_docs"] = f"WITH {PROSE} SELECT doc_id, doc_path, strlen(body) AS md_bytes FROM prose"
 
 # ---- URLs and paths -------------------------------------------------------
