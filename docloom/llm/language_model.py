@@ -146,9 +146,11 @@ def _document_grams(order: int):
                     places, n = unique_pairs(tokens, history)
                     found.append((tokens[places], before[places], history[places], n))
                     sizes.append(len(n))
-                rows = pa.array(np.repeat(part.column(0).to_numpy(), sizes))
+                places = pa.array(np.repeat(np.arange(part.num_rows), sizes))
                 yield pa.RecordBatch.from_arrays(
-                    [rows, *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))], ["row", "w", "h", "g", "n"]
+                    [part.column(0).take(places), part.column(2).take(places),
+                     *(pa.array(np.concatenate(x)) for x in zip(*found, strict=True))],
+                    ["row", "doc_id", "w", "h", "g", "n"],
                 )
 
     return run
@@ -247,7 +249,7 @@ def fit(texts: DataFrame, order: int = 2) -> Model:
     if order == 3:
         # A history of two words tells its last one.
         triples = texts.mapInArrow(_gram_counts(order, True), schema).groupBy("w", "g", "h").agg(F.sum("n").alias("c"))
-        lower = model.grams[0].select("w", "h", F.col("p").alias("below"), "cw").hint("shuffle_hash")
+        lower = model.grams[0].select("w", "h", F.col("p").alias("below"), "cw")
         _estimated(triples.join(lower, ["w", "h"]).select("w", F.col("g").alias("h"), "c", "cw", "below"), model, 3)
     return model
 
@@ -260,14 +262,14 @@ def token_scores(grams: DataFrame, model: Model, trained: bool = False) -> DataF
     """
     names = grams.columns
     if trained:
-        top = model.grams[-1].withColumnRenamed("h", "g").hint("shuffle_hash")
+        top = model.grams[-1].withColumnRenamed("h", "g")
         return grams.join(top, ["w", "g"]).select(*names, "cw", F.log10("p").alias("logp"))
     # Backoff, from the word alone (below it the unknown class) up to the highest order.
-    found = grams.join(model.words.hint("shuffle_hash"), "w", "left")
+    found = grams.join(model.words, "w", "left")
     value = model.unigram(F.col("cw"))
     for k in range(2, model.order + 1):
         key = "h" if k == 2 else "g"
-        seen = model.grams[k - 2].select("w", F.col("h").alias(key), F.col("p").alias(f"p{k}")).hint("shuffle_hash")
+        seen = model.grams[k - 2].select("w", F.col("h").alias(key), F.col("p").alias(f"p{k}"))
         weights = model.contexts[k - 2].select(F.col("h").alias(key), F.col("alpha").alias(f"alpha{k}"))
         found = found.join(seen, ["w", key], "left").join(weights, key, "left")
         value = F.coalesce(f"p{k}", F.coalesce(f"alpha{k}", F.lit(1.0)) * value)
@@ -281,21 +283,23 @@ def score(docs: DataFrame, model: Model, trained: bool = False, slices: int = SL
     """
     spark = docs.sparkSession
     ship_package(spark)
-    path = work_path(spark, "lm-scores")
+    path, kind = work_path(spark, "lm-scores"), docs.schema["doc_id"].dataType.simpleString()
     with freed_shuffles(spark):
         for part in range(slices):
             mine = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
             mine = mine.where(F.pmod(F.xxhash64("doc_id"), F.lit(slices)) == part)
-            grams = mine.select("row", "text").mapInArrow(
-                _document_grams(model.order), "row long, w long, h long, g long, n long"
+            # The id goes along with the number, so that rows are numbered only once.
+            grams = mine.select("row", "text", "doc_id").mapInArrow(
+                _document_grams(model.order), f"row long, doc_id {kind}, w long, h long, g long, n long"
             )
             scored = token_scores(grams, model, trained).groupBy("row").agg(
+                F.max("doc_id").alias("doc_id"),
                 F.sum("n").alias("n_tokens"),
                 F.sum(F.when(F.col("cw") > 0, F.col("n")).otherwise(0)).alias("n_known"),
                 F.sum(F.col("n") * model.add_base(F.col("cw"))).alias("base_score"),
                 F.sum(F.col("n") * F.col("logp")).alias("score"),
             )
-            mine.select("row", "doc_id").join(scored, "row").drop("row").write.mode("append").parquet(path)
+            scored.drop("row").write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
