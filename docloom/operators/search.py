@@ -21,8 +21,9 @@ from docloom.session import (
     spread_small_input,
 )
 
-# The query table is cut into slices. Each is carried to the tasks and holds about
-# so many keywords and bytes, and so many best rows that a task has to remember.
+# The query table is cut into slices. Slices that together hold about so many keywords
+# and bytes, and so many best rows that a task has to remember, are carried to the tasks
+# for one pass over the bodies; a slice by itself holds no more.
 SLICE_TERMS = 20_000
 SLICE_BYTES = 16 * 1024 * 1024
 SLICE_ROWS = 1_000_000
@@ -162,19 +163,21 @@ def match_counts_for_queries(
     key: str | list[str] = KEY,
     body: str = "body",
     slice_terms: int = SLICE_TERMS,
+    pass_terms: int = SLICE_TERMS,
 ) -> DataFrame:
     """``(query_id, key, matches)`` for every query and every document it matches."""
-    return _scored(docs, queries, key_columns(key), body, slice_terms, keep=None)
+    return _scored(docs, queries, key_columns(key), body, slice_terms, keep=None, pass_terms=pass_terms)
 
 
 def _scored(
-    docs: DataFrame, queries: DataFrame, keys: list[str], body: str, slice_terms: int, keep: int | None
+    docs: DataFrame, queries: DataFrame, keys: list[str], body: str, slice_terms: int, keep: int | None,
+    pass_terms: int = SLICE_TERMS,
 ) -> DataFrame:
-    """Match counts, by one pass over the bodies for each slice of the query table.
+    """Match counts, by one pass over the bodies for as many slices of the query table as fit in it.
 
     A slice is a hash part of the queries, so its size is bounded and all tables
     of queries are handled by the same plan. Its keywords travel to the tasks,
-    which count them all in one pass over each body; no row is shuffled for it.
+    which count those of all slices of a pass at once; no row is shuffled for it.
     """
     terms = save_and_reload(query_keywords(queries), "query-keywords")
     size = terms.agg(
@@ -197,13 +200,24 @@ def _scored(
     texts = spread_small_input(docs.select(*keys, body), *keys).select(
         F.struct(*keys).alias("key"), F.lower(body).alias("text")
     )
-    found = docs.sparkSession.createDataFrame([], output)
+    passes: list[list[list[tuple]]] = []
+    room = (0, 0, 0)
     for part in range(slices):
         mine = terms.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == part)
         carried = [tuple(r) for r in mine.collect()]
-        if carried:
-            score = score_batches(carried, to_arrow_type(id_type), keep)
-            found = found.unionByName(texts.mapInArrow(score, output))
+        if not carried:
+            continue
+        takes = (
+            len(carried), sum(len(t[1].encode()) for t in carried), len({t[0] for t in carried}) * (keep or 0)
+        )
+        if any(a > b for a, b in zip(takes, room, strict=True)):
+            passes.append([])
+            room = (pass_terms, SLICE_BYTES, SLICE_ROWS)
+        passes[-1].append(carried)
+        room = tuple(b - a for a, b in zip(takes, room, strict=True))
+    found = docs.sparkSession.createDataFrame([], output)
+    for each in passes:
+        found = found.unionByName(texts.mapInArrow(score_batches(each, to_arrow_type(id_type), keep), output))
     return found.select("query_id", "key.*", "matches")
 
 
@@ -214,6 +228,7 @@ def top_documents_for_queries(
     k: int = C.DEFAULT_MAX_RESULTS,
     body: str = "body",
     slice_terms: int = SLICE_TERMS,
+    pass_terms: int = SLICE_TERMS,
 ) -> DataFrame:
     """Best ``k`` documents per query with their rank.
 
@@ -223,7 +238,7 @@ def top_documents_for_queries(
     if k < 0:
         raise ValueError("k must not be negative")
     keys = key_columns(key)
-    scored = _scored(docs, queries, keys, body, slice_terms, keep=max(k, 1))
+    scored = _scored(docs, queries, keys, body, slice_terms, keep=max(k, 1), pass_terms=pass_terms)
     in_query = Window.partitionBy("query_id").orderBy(F.desc("matches"), *keys)
     return scored.withColumn("rank", F.row_number().over(in_query)).where(F.col("rank") <= k)
 

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,23 @@ def test_hits_for_queries(spark):
     assert rows[(1, "a")] == ["> The cat, the hat\n> and THE bandana banana"]
     empty = spark.createDataFrame([], "query_id long, query string")
     assert ops.hits_for_queries(docs, empty).count() == 0
+
+
+def test_keywords_are_counted_by_distinct_words():
+    rng = np.random.default_rng(3)
+    alphabet = list("aabbn é日") + ["\n", "\u2003", "\u0085"]
+    texts = ["".join(rng.choice(alphabet, rng.integers(0, 200))) for _ in range(300)] + ["", "anananan", None]
+    words = ["a", "aa", "ab", "é", "日a", "anan", "nn", "ba", "bab", "absent", "aaa"]
+    table = KeywordCounter(words).table(pa.array(texts, pa.string()))
+    assert table.tolist() == [[(t or "").count(w) for w in words] for t in texts]
+    assert table.any(axis=0).sum() >= 9
+
+
+def test_slices_share_passes(spark):
+    docs = docs_of(spark, BODIES)
+    queries = spark.createDataFrame(MANY, "query_id long, query string")
+    for pass_terms, most in ((ops.SLICE_TERMS, 1), (3, 100), (1, 100)):
+        got = ops.top_documents_for_queries(docs, queries, k=100, slice_terms=2, pass_terms=pass_terms)
+        assert {(r.query_id, r.doc_path, r.matches) for r in got.collect()} == brute_force(BODIES, MANY)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("MapInArrow") <= most and (most == 1 or plan.count("MapInArrow") > 1)
