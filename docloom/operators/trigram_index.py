@@ -9,42 +9,98 @@ keyword rules nothing out.
 
 Postings are kept per run of a collection, so a delivery costs its own size, and files
 hold ``block_rows`` rows of the collection at most to keep blocks small. A null body has no
-trigrams; bodies of any length are taken whole, place by place.
+trigrams; bodies of any length are taken whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom import constants as C
 from docloom.functions import search as search_functions
 from docloom.operators import search
-from docloom.session import work_path
+from docloom.session import ship_package, work_path
 from docloom.sources.delta_collection import DeltaCollection
 from docloom.sources.pages import _exists
 
 POSTINGS = "trigram string, file string"
+# A letter's code takes 21 bits.
+LETTER = (1 << 21) - 1
+BETWEEN = "\n"
+# Letters that are looked at together, and trigrams that a task holds of a file.
+LETTERS_AT_ONCE = 1_000_000
+CODES_HELD = 1_000_000
 
 
 def trigrams(word: str) -> set[str]:
     return {word[i:i + 3] for i in range(len(word) - 2)}
 
 
+def _trigrams_of_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct ``trigram, file`` of rows ``file, text``; a file's may come in several parts."""
+    found: list[pa.Array] = []
+    held, last = 0, None
+
+    def part() -> pa.RecordBatch:
+        codes = np.asarray(pc.unique(pa.chunked_array(found)))
+        letters = np.stack([codes >> 42, (codes >> 21) & LETTER, codes & LETTER], axis=1)
+        joined = letters.astype("<u4").tobytes().decode("utf-32-le")
+        names = pa.array([joined[i:i + 3] for i in range(0, len(joined), 3)], pa.string())
+        return pa.RecordBatch.from_arrays([names, pa.array([last] * len(names), pa.string())], ["trigram", "file"])
+
+    for batch in batches:
+        for file, texts in _blocks(batch):
+            if found and (file != last or held > CODES_HELD):
+                yield part()
+                found, held = [], 0
+            last = file
+            letters = np.frombuffer(BETWEEN.join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+            # Of letters of one text only.
+            ends = np.cumsum([len(t) + 1 for t in texts])[:-1] - 1
+            inside = np.ones(max(len(letters) - 2, 0), dtype=bool)
+            for back in range(3):
+                at = ends - back
+                inside[at[(at >= 0) & (at < len(inside))]] = False
+            codes = ((letters[:-2] << 42) | (letters[1:-1] << 21) | letters[2:])[inside] if len(inside) else letters[:0]
+            if len(codes):
+                found.append(pc.unique(pa.array(codes)))
+                held += len(found[-1])
+    if found:
+        yield part()
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[str, list[str]]]:
+    """Texts of one file, in blocks of bounded size."""
+    files = batch.column(0).dictionary_encode()
+    held, size, at = [], 0, None
+    for code, text in zip(files.indices.to_pylist(), batch.column(1), strict=True):
+        if held and (code != at or size > LETTERS_AT_ONCE):
+            yield files.dictionary[at].as_py(), held
+            held, size = [], 0
+        at = code
+        held.append(text.as_py())
+        size += len(held[-1])
+    if held:
+        yield files.dictionary[at].as_py(), held
+
+
 def postings(files: DataFrame, body: str = "body") -> DataFrame:
     """``trigram, file``, each pair once, of rows read from files.
 
-    Letters are looked up by place in an array that stays in its row, and pairs are
-    combined before the shuffle.
+    Three letters are one number; a task finds the distinct numbers of a file's texts in
+    arrays, so what is shuffled are the trigrams of files and not the letters of texts.
     """
-    letters = files.select(
-        F.col("_metadata.file_name").alias("file"), F.split(F.lower(F.col(body)), "").alias("letters")
+    ship_package(files.sparkSession)
+    rows = files.where(F.col(body).isNotNull()).select(
+        F.col("_metadata.file_name").alias("file"), F.lower(F.col(body)).alias("text")
     )
-    here = letters.select("file", "letters", F.posexplode("letters").alias("at", "letter"))
-    tail = [F.get("letters", F.col("at") + i) for i in (1, 2)]
-    return here.where(F.col("at") + 3 <= F.size("letters")).select(
-        F.concat("letter", *tail).alias("trigram"), "file"
-    ).distinct()
+    return rows.mapInArrow(_trigrams_of_files, POSTINGS).distinct()
 
 
 class TrigramIndex:

@@ -1,5 +1,6 @@
 """Search through a trigram index against a scan of the whole collection."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,3 +52,16 @@ def test_postings_hold_every_trigram(index, spark):
     named = rows.select(F.col("_metadata.file_name").alias("file"), F.lower("body").alias("body")).where("body is not null")
     expected = {(t, r.file) for r in named.collect() for t in trigram_index.trigrams(r.body)}
     assert found == expected
+
+
+def test_postings_shuffle_trigrams_and_not_letters(index, spark, monkeypatch):
+    rows = spark.read.schema(COLUMNS).parquet(index.store.live()[0]["run"])
+    assert "Generate" not in trigram_index.postings(rows)._jdf.queryExecution().executedPlan().toString()
+    # Texts of several files, cut into blocks and parts; odd letters, and nothing across texts.
+    texts = ["abcabc", "", "zz", "a\0\0\0", "\U0001F600ab\u00e9", "x\ny", "abcd"] * 3
+    files = ["f1"] * 5 + ["f2"] * 7 + ["f3"] * 9
+    monkeypatch.setattr(trigram_index, "LETTERS_AT_ONCE", 7)
+    monkeypatch.setattr(trigram_index, "CODES_HELD", 3)
+    batches = [pa.RecordBatch.from_arrays([pa.array(files[a:b]), pa.array(texts[a:b])], ["file", "text"]) for a, b in ((0, 8), (8, 21))]
+    found = {(r["trigram"], r["file"]) for out in trigram_index._trigrams_of_files(iter(batches)) for r in out.to_pylist()}
+    assert found == {(t, f) for f, text in zip(files, texts, strict=True) for t in trigram_index.trigrams(text)}
