@@ -1,8 +1,10 @@
 """Crawl runs followed with keyed state: a report costs the state of a run, not its lines.
 
 The state of a run is where it stands: the URL of its last request, its first
-and last time, how many distinct URLs it has saved, and these URLs themselves as
-a map, of which only the entries that change are written. Lines newer than the
+and last time, how many distinct URLs it has saved, and these URLs themselves in
+a map of ``BUCKETS`` buckets by their hash. Every access to the store is a call to the JVM, so
+lines first gather their URLs; then the buckets that these fall into are read and
+written once each, however many lines there are. Lines newer than the
 watermark may still get company: they wait in the state, a report counts them as
 they stand, and they are folded in, in the order of their numbers, once the
 watermark has passed them.
@@ -19,6 +21,8 @@ How the lines are cut into batches makes no difference to the others.
 
 from __future__ import annotations
 
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
@@ -34,6 +38,7 @@ from docloom.session import ship_package
 LINES = "seq long, ts long, url string, saved boolean"
 STANDING = "seq long, url string, first_ts long, last_ts long, n_urls long, late long"
 REPORT = "run_id string, started_us long, ended_us long, n_urls long, late long, final boolean"
+BUCKETS = 256
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STATE_STORE_SETTING = "spark.sql.streaming.stateStore.providerClass"
 
@@ -57,7 +62,7 @@ class RunProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.standing = handle.getValueState("standing", STANDING)
-        self.urls = handle.getMapState("urls", "url string", "seq long")
+        self.urls = handle.getMapState("urls", "bucket int", "urls array<string>")
         self.waiting = handle.getListState("waiting", LINES)
 
     def close(self) -> None:
@@ -66,48 +71,66 @@ class RunProcessor(StatefulProcessor):
     def _report(self, run: str, at: Standing, final: bool) -> tuple:
         return run, at.first_ts, at.last_ts, at.n_urls, at.late, final
 
-    def _walk(self, run: str, at: Standing, lines: list[tuple], seen, note) -> Iterator[tuple]:
-        """Take lines in order; final reports of the parts that end on the way."""
+    def _walk(self, run: str, at: Standing, lines: list[tuple], unseen, restart) -> Iterator[tuple]:
+        """Take lines in order; final reports of the parts that end on the way.
+
+        ``unseen`` counts URLs that the part has not saved before these lines, and is told if the part ends.
+        """
+        found: set[str] = set()
         for seq, ts, url, saved in lines:
             if at.first_ts is not None and ts - at.last_ts > self.silence:
+                at.n_urls += unseen(found, True)
                 yield self._report(run, at, True)
                 at.__init__(seq=at.seq)
-                note(None, seq)
+                found = set()
+                restart()
             at.first_ts = ts if at.first_ts is None else min(at.first_ts, ts)
             at.last_ts = ts if at.last_ts is None else max(at.last_ts, ts)
             at.seq = seq
             if url is not None:
                 at.url = url
-            if saved and not seen(at.url):
-                note(at.url, seq)
-                at.n_urls += 1
+            if saved:
+                found.add(at.url)
+        at.n_urls += unseen(found, False)
+
+    def _unseen(self, urls: set[str], keep: bool) -> int:
+        """How many URLs are not in the store; with ``keep`` they are put there."""
+        buckets: dict[int, list[str]] = defaultdict(list)
+        for url in urls:
+            buckets[zlib.crc32(url.encode()) % BUCKETS].append(url)
+        n = 0
+        for bucket, mine in buckets.items():
+            held = self.urls.getValue((bucket,)) if self.holds_urls else None
+            held = list(held[0]) if held else []
+            new = sorted(set(mine).difference(held))
+            n += len(new)
+            if keep and new:
+                self.urls.updateValue((bucket,), (held + new,))
+        self.holds_urls |= keep and n > 0
+        return n
 
     def _fold(self, run: str, at: Standing, lines: list[tuple]) -> Iterator[tuple]:
         """Take lines into the stored state."""
-        def note(url, seq):
-            if url is None:
+        self.holds_urls = at.n_urls > 0
+
+        def restart():
+            if self.holds_urls:
                 self.urls.clear()
-            else:
-                self.urls.updateValue((url,), (seq,))
+            self.holds_urls = False
 
-        yield from self._walk(run, at, lines, lambda url: self.urls.containsKey((url,)), note)
+        # What a part that ends has saved need not be stored any more.
+        yield from self._walk(run, at, lines, lambda urls, ends: self._unseen(urls, not ends), restart)
 
     def _preview(self, run: str, at: Standing, lines: list[tuple]) -> Iterator[tuple]:
         """Reports with the waiting lines as they stand, which change nothing."""
-        at, new, restarted = Standing(*astuple(at)), set(), []
-
-        def note(url, _):
-            if url is None:
-                new.clear()
-                restarted.append(True)
-            else:
-                new.add(url)
+        at = Standing(*astuple(at))
+        self.holds_urls = at.n_urls > 0
 
-        def seen(url):
-            return url in new or (not restarted and self.urls.containsKey((url,)))
+        def restart():
+            self.holds_urls = False
 
         # Parts that end among waiting lines are not final yet.
-        for row in self._walk(run, at, lines, seen, note):
+        for row in self._walk(run, at, lines, lambda urls, _: self._unseen(urls, False), restart):
             yield (*row[:-1], False)
         if at.first_ts is not None:
             yield self._report(run, at, False)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import crawl_log
 from docloom.sources import logs
-from docloom.streaming.run_state import RunReports
+from docloom.streaming.run_state import BUCKETS, RunProcessor, RunReports, Standing
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -66,3 +66,38 @@ def test_silent_runs_are_closed_and_late_lines_left_out(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "standing").load(f"{tmp_path}/c")
     assert [r.key.run_id for r in state.collect()] == ["z"]
     assert spark.read.format("statestore").option("stateVarName", "urls").load(f"{tmp_path}/c").isEmpty()
+
+
+class CountedMap(dict):
+    """A stored map that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def clear(self):
+        self.calls += 1
+        super().clear()
+
+
+def test_calls_to_the_store_do_not_grow_with_lines():
+    processor, at = RunProcessor(silence_us=1000), Standing()
+    processor.urls = CountedMap()
+    first = [(i, i, f"http://h/{i // 2}", True) for i in range(20_000)]
+    assert list(processor._fold("a", at, first)) == [] and at.n_urls == 10_000
+    assert processor.urls.calls <= BUCKETS
+    more = [(20_000 + i, 20_000 + i, f"http://h/{i}", True) for i in range(15_000)]
+    shown = list(processor._preview("a", at, more))
+    assert [r[3] for r in shown] == [15_000] and at.n_urls == 10_000
+    assert list(processor._fold("a", at, more)) == [] and at.n_urls == 15_000
+    assert processor.urls.calls <= 5 * BUCKETS
+    # Silence ends the part; the next one starts with nothing saved.
+    ended = list(processor._fold("a", at, [(50_000, 50_000, "http://h/1", True), (60_000, 60_000, "http://h/1", True)]))
+    assert [(r[3], r[5]) for r in ended] == [(15_000, True), (1, True)] and at.n_urls == 1
+    assert [list(v[0]) for v in processor.urls.values()] == [["http://h/1"]]
