@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,41 +19,65 @@ from docloom.session import save_and_reload, ship_package, spread_small_input
 PARSED = ["title", "container", "markdown", "warning", "error"]
 
 NO_CONTENT = "no content container"
+# Pages whose results are held together in a worker.
+PAGES_AT_ONCE = 256
+BYTES_AT_ONCE = 4_000_000
 
 
 def _parse_batches(wanted: list[str]):
     """Parse pages; only what the ``wanted`` fields need is worked out."""
 
+    def parsed(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows: dict[str, list] = {name: [] for name in wanted}
+        for html in part.column("html"):
+            found: dict[str, str | None] = dict.fromkeys(PARSED)
+            tree = None
+            try:
+                tree = pm.parse(html.as_py())
+                if "title" in wanted or "warning" in wanted:
+                    found["title"], found["warning"] = pm.page_title(tree)
+                if {"container", "markdown", "error"} & set(wanted):
+                    container = pm.content_container(tree)
+                    if container is None:
+                        found["error"] = NO_CONTENT
+                    else:
+                        found["container"] = container.name
+                        if "markdown" in wanted:
+                            found["markdown"] = pm.to_markdown(container)
+            except Exception as failure:  # one bad page never stops the batch
+                found["error"] = f"{type(failure).__name__}: {failure}"
+            if tree is not None:
+                tree.dismantle()
+            for name in wanted:
+                rows[name].append(found[name])
+        kept = [name for name in part.schema.names if name != "html"]
+        return pa.RecordBatch.from_arrays(
+            [part.column(name) for name in kept] + [pa.array(rows[k], pa.string()) for k in wanted],
+            names=[*kept, *wanted],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {name: [] for name in wanted}
-            for html in batch.column("html"):
-                found: dict[str, str | None] = dict.fromkeys(PARSED)
-                try:
-                    tree = pm.parse(html.as_py())
-                    if "title" in wanted or "warning" in wanted:
-                        found["title"], found["warning"] = pm.page_title(tree)
-                    if {"container", "markdown", "error"} & set(wanted):
-                        container = pm.content_container(tree)
-                        if container is None:
-                            found["error"] = NO_CONTENT
-                        else:
-                            found["container"] = container.name
-                            if "markdown" in wanted:
-                                found["markdown"] = pm.to_markdown(container)
-                except Exception as failure:  # one bad page never stops the batch
-                    found["error"] = f"{type(failure).__name__}: {failure}"
-                for name in wanted:
-                    rows[name].append(found[name])
-            kept = [name for name in batch.schema.names if name != "html"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(name) for name in kept] + [pa.array(rows[k], pa.string()) for k in wanted],
-                names=[*kept, *wanted],
-            )
+            for first, last in _parts(batch.column("html")):
+                yield parsed(batch.slice(first, last - first))
+                # A worker would keep the room of its largest part until it ends.
+                pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _parts(html: pa.Array) -> Iterator[tuple[int, int]]:
+    """First and last row of parts of at most ``PAGES_AT_ONCE`` pages and ``BYTES_AT_ONCE`` bytes, or of one page."""
+    first, held = 0, 0
+    for i, size in enumerate(pc.fill_null(pc.binary_length(html), 0).to_pylist()):
+        if i > first and (held + size > BYTES_AT_ONCE or i - first >= PAGES_AT_ONCE):
+            yield first, i
+            first, held = i, 0
+        held += size
+    if first < len(html):
+        yield first, len(html)
+
+
 def parse_pages(pages: DataFrame, fields: list[str] = PARSED) -> DataFrame:
     """Every page with the named fields of its parse: title, container, Markdown, warning, error.
 

@@ -1,5 +1,7 @@
+import gc
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,21 @@ def test_own_fetch_time_is_kept(spark):
     docs, _ = convert(pages, STAMP)
     at = {r.page_id: r.t for r in docs.select("page_id", F.unix_timestamp("fetched_at").alias("t")).collect()}
     assert at == {1: int(own.timestamp()), 2: int(STAMP.timestamp())}
+
+
+def test_parsed_pages_leave_in_small_parts_and_trees_go_at_once(monkeypatch):
+    pages = [f"<title>t{i}</title><body><p>{'x' * 100 * i}<b>{i}</b></p></body>" for i in range(30)] + [None, "<p>no"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(32)), pa.array(pages)], ["page_id", "html"])
+    whole = pa.Table.from_batches(extraction._parse_batches(extraction.PARSED)(iter([batch])))
+    monkeypatch.setattr(extraction, "PAGES_AT_ONCE", 4)
+    monkeypatch.setattr(extraction, "BYTES_AT_ONCE", 5_000)
+    gc.collect()
+    gc.disable()
+    try:
+        parts = list(extraction._parse_batches(extraction.PARSED)(iter([batch])))
+        left = sum(isinstance(x, pm.Element) for x in gc.get_objects())
+    finally:
+        gc.enable()
+    assert left <= 1 and max(p.num_rows for p in parts) <= 4 and len(parts) > 8
+    assert pa.Table.from_batches(parts).to_pylist() == whole.to_pylist()
+    assert [r["markdown"] for r in whole.to_pylist()][:2] == ["**0**", f"{'x' * 100}**1**"]
