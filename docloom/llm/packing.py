@@ -103,7 +103,8 @@ class WordEncoder:
     tokenizer's added tokens, which it takes out before it splits, go to it as a whole.
     """
 
-    def __init__(self, definition: str, remembered: int = REMEMBERED):
+    def __init__(self, definition: str, remembered: int | None = None):
+        remembered = REMEMBERED if remembered is None else remembered
         self.tokenizer = Tokenizer.from_str(definition)
         self.model, self.letters = self.tokenizer.model, byte_letters()
         added = self.tokenizer.get_added_tokens_decoder().values()
