@@ -79,3 +79,38 @@ def test_rare_words_have_contexts_of_their_own(spark, order):
     rare = [f"a{i} b{i} c{i}" for i in range(5000)]
     train = ["filler " * 200_000, *(" ".join(rare[i:i + 50]) for i in range(0, 5000, 50))] + [rare[7], rare[8]]
     check(spark, train[1:] + train[:1], ["a7 b7 c7", "b4000 c4000", "a1 b2 c3"], order)
+
+
+def test_common_words_and_pairs_have_cells_of_their_own(spark, monkeypatch):
+    """Half of all tokens follow one pair, and one text repeats a word; in cells of any size the scores are the model's."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"w{i}" for i in range(40)]
+    train = [" ".join(f"so it {w}" for w in rng.choice(vocabulary, 30)) for _ in range(60)] + ["filler " * 3000, "so it", ""]
+    monkeypatch.setattr(language_model, "CELL", 300)
+    source = spark.createDataFrame([(i, t, True, True) for i, t in enumerate(train)], "key long, text string, asked boolean, trained boolean")
+    where = language_model.places(source)
+    assert where.cells > 5 and len(where.words) >= 2 and len(where.pairs) >= 1 and max(where.many) > 3
+    check(spark, train, [*train[:3], "so it never", "it so w1 w2", "w1 so it filler filler", "", None], 3)
+
+
+def test_equal_rows_are_scored_one_by_one(spark):
+    rows = [(1, "a b c"), (1, "a b c"), (1, "a b"), (None, "a b c"), (None, "a b c"), (2, None), (3, ""), (4, "x" * 3_000_000 + " a")]
+    found = language_model.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == sorted((str(i), len((t or "").split()) + 1) for i, t in rows)
+    same = [(r.base_score, r.score) for r in found if r.n_tokens == 4]
+    assert len(same) == 4 and np.allclose(same, same[0], rtol=1e-12)
+
+
+def test_tables_left_between_jobs_are_smaller_than_the_texts(spark, small, monkeypatch, tmp_path):
+    paths = []
+
+    def work_path(spark, name):
+        paths.append(tmp_path / f"{name}-{len(paths)}")
+        return str(paths[-1])
+
+    stored = lambda p: sum(f.stat().st_size for f in p.rglob("*.parquet"))
+    monkeypatch.setattr(language_model, "work_path", work_path)
+    monkeypatch.setattr(language_model, "discard", lambda df, path: None)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert language_model.report(docs).count() == docs.count()
+    assert paths and sum(map(stored, paths)) < docs.agg({"n_chars": "sum"}).first()[0]
