@@ -53,7 +53,7 @@ SLICES = 4
 COUNT_SLICES = 2
 # Tokens of a cell, about, and tokens that a task puts together before they leave it.
 CELL = 700_000
-TOKENS = 2_000_000
+TOKENS = 1_000_000
 # Bytes of text that are hashed together, and texts that name the common words.
 PIECE = 1 << 20
 SAMPLE_TEXTS = 4000
